@@ -1,0 +1,9 @@
+"""Registered queries over the driver tables."""
+
+from vacansift.catalog import (  # noqa: F401
+    function_queries,
+    scoring_queries,
+)
+from vacansift.catalog.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
