@@ -1,6 +1,7 @@
 """Registered queries over the driver tables."""
 
 from vacansift.catalog import (  # noqa: F401
+    extraction_queries,
     function_queries,
     scoring_queries,
 )

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacansift import rules
-from vacansift.sources.tables import table
+from vacansift.sources.tables import spread, table
 
 AS_OF = dt.date(2001, 8, 1)
 
@@ -83,6 +83,7 @@ ENDINGS = (
     "",
     "Deadline not stated, started 3 May 2001 or so.",
 )
+ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderdate")
 CATEGORIES_PER_BOARD = 3
 PAGES_PER_CATEGORY = 3
 
@@ -144,7 +145,7 @@ def raw_postings(orders: DataFrame) -> DataFrame:
 
 def postings(spark: SparkSession, folder: str) -> DataFrame:
     """One posting per order."""
-    return raw_postings(table(spark, folder, "orders"))
+    return raw_postings(spread(table(spark, folder, "orders").select(*ORDER_COLUMNS)))
 
 
 def company_postings(spark: SparkSession, folder: str) -> DataFrame:
@@ -158,7 +159,7 @@ def company_postings(spark: SparkSession, folder: str) -> DataFrame:
 def text_postings(spark: SparkSession, folder: str) -> DataFrame:
     """One posting per document: the whole text between two phrases."""
     d = F.col("doc_id")
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents")).select(
         d.alias("k"),
         F.lit("MyJobMag").alias("source"),
         F.concat(F.lit("https://docs.example/job/"), d.cast("string")).alias("source_url"),

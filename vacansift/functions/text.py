@@ -83,8 +83,8 @@ def clean_text(value: Column, data_type: T.DataType) -> Column:
 
 def matched_terms(text: Column, terms: Sequence[str]) -> Column:
     """Listed terms that occur as substrings, in list order."""
-    hits = [F.when(F.contains(text, F.lit(t)), F.lit(t)) for t in terms]
-    return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
+    listed = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
+    return F.filter(listed, lambda term: F.contains(text, term))
 
 
 def matched_words(text: Column, terms: Sequence[str]) -> Column:
