@@ -1,9 +1,12 @@
 """Registered queries over the driver tables."""
 
 from vacansift.catalog import (  # noqa: F401
+    collect_queries,
     extraction_queries,
     function_queries,
+    report_queries,
     scoring_queries,
+    store_queries,
 )
 from vacansift.catalog.registry import QUERIES, SQL
 

@@ -6,16 +6,18 @@ attribute values) are accepted; everything runs as built-in expressions.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vacansift.functions.text import collapse_whitespace, strip_whitespace
+from vacansift.functions.text import collapse_whitespace, once, strip_whitespace
 
 _INVISIBLE = r"(?is)<(script|style|template)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<![a-z][^>]*>"
 _TAG = r"(?s)</?[A-Za-z][^>]*>"
+_NAMES = json.dumps({**{n: chr(c) for n, c in name2codepoint.items()}, "apos": "'"})
 _ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 
 
@@ -36,12 +38,9 @@ def replace_tags(html: Column, separator: str) -> Column:
 def unescape(text: Column) -> Column:
     """Decode character references in one pass, so ``&amp;lt;`` gives ``&lt;``."""
     # Latin-1 and symbol names come from the standard library's table.
-    names = F.create_map(
-        *[F.lit(x) for n, c in {**name2codepoint, "apos": 39}.items() for x in (n, chr(c))]
-    )
+    names = F.from_json(F.lit(_NAMES), "map<string,string>")
 
-    def decoded(piece: Column) -> Column:
-        name = F.regexp_extract(piece, _ENTITY, 1)
+    def decoded(piece: Column, name: Column) -> Column:
         is_hex = name.rlike("^#[xX]")
         digits = F.when(is_hex, F.substring(name, 3, 8)).otherwise(
             F.conv(F.substring(name, 2, 8), 10, 16)
@@ -55,11 +54,16 @@ def unescape(text: Column) -> Column:
         rest = F.substring(piece, F.length(name) + F.lit(2), F.length(piece))
         return F.coalesce(F.concat(value, rest), F.concat(F.lit("&"), piece))
 
-    pieces = F.split(text, "&")
-    whole = F.array_join(
-        F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(decoded(p))), ""
-    )
-    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
+    def piece_text(piece: Column) -> Column:
+        return once(F.regexp_extract(piece, _ENTITY, 1), lambda name: decoded(piece, name))
+
+    def whole(value: Column) -> Column:
+        pieces = F.transform(
+            F.split(value, "&"), lambda p, i: F.when(i == 0, p).otherwise(piece_text(p))
+        )
+        return F.when(F.contains(value, F.lit("&")), F.array_join(pieces, "")).otherwise(value)
+
+    return once(text, whole)
 
 
 def block_text(html: Column) -> Column:

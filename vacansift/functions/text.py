@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -14,6 +14,11 @@ from pyspark.sql import types as T
 WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def any_of(conditions: Iterable[Column]) -> Column:
     """OR of all conditions; false when there is none."""
     return reduce(lambda a, b: a | b, conditions, F.lit(False))

@@ -11,9 +11,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Use all cores for rule-heavy work on a table of few files.
+    """Use all cores for rule-heavy work on a scan of few files.
 
-    A scan with at least one partition per core, the normal case on large
+    Only for plain scans (a plan with shuffles would start running). A scan with at least one partition per core, the normal case on large
     tables, is returned as it is.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
