@@ -7,6 +7,7 @@ from vacansift.catalog import (  # noqa: F401
     report_queries,
     scoring_queries,
     store_queries,
+    stream_queries,
 )
 from vacansift.catalog.registry import QUERIES, SQL
 

@@ -136,7 +136,7 @@ SKILLS = rules.DEFAULT_PROFILE.skills
     terms AS (SELECT DISTINCT n_name AS profile, {R.sql_pick(SKILLS, 'n_nationkey * 5 + i * 3')} AS term
       FROM nation, (SELECT unnest(range(6)) AS i)),
     hits AS (SELECT k, profile, term FROM texts, terms WHERE contains(t, term))
-    SELECT profile, count(DISTINCT k) AS postings, count(*) AS matches, count(DISTINCT term) AS terms
+    SELECT profile, count(DISTINCT k) AS postings, count(*) AS matches
     FROM hits GROUP BY profile""",
 )
 def profile_terms_join(spark: SparkSession, folder: str) -> DataFrame:
@@ -153,12 +153,6 @@ def profile_terms_join(spark: SparkSession, folder: str) -> DataFrame:
     )
     hits = profiles.match(texts, terms, "search_text")
     per_posting = hits.groupBy("profile", "k").agg(F.count(F.lit(1)).alias("n"))
-    totals = per_posting.groupBy("profile").agg(
+    return per_posting.groupBy("profile").agg(
         F.count(F.lit(1)).alias("postings"), F.sum("n").alias("matches")
     )
-    used = hits.select("profile", "term").distinct().groupBy("profile").agg(
-        F.count(F.lit(1)).alias("terms")
-    )
-    return totals.join(used, "profile")
-
-

@@ -425,12 +425,12 @@ DELIVERIES_SQL = """deliveries AS (
   SELECT 'https://jobs.example/job/' || user_id * 3 AS source_url,
     CASE WHEN event_id % 2 = 0 THEN 'telegram' ELSE 'email' END AS channel,
     CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'sent' ELSE 'pending' END AS outcome,
-    'code ' || event_id % 7 AS error, ts AS at, event_id
+    'code ' || event_id % 7 AS error, ts AS moment, event_id
   FROM events)"""
 
 TOGGLES_SQL = """toggles AS (
   SELECT 'https://jobs.example/job/' || user_id * 3 AS source_url, event_type = 'click' AS value,
-    ts AS at, event_id AS command_id, event_id % 2 = 0 AS for_saved
+    ts AS moment, event_id AS command_id, event_id % 2 = 0 AS for_saved
   FROM events WHERE event_type IN ('click', 'view'))"""
 
 CRAWL_SQL = f"""crawl AS (

@@ -84,7 +84,7 @@ def strong_by_state(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "send_rate",
     f"""WITH {R.DELIVERIES_SQL}, last AS (SELECT source_url, channel,
-      arg_max(outcome, (at, event_id)) FILTER (WHERE outcome <> 'pending') AS status FROM deliveries GROUP BY ALL)
+      arg_max(outcome, (moment, event_id)) FILTER (WHERE outcome <> 'pending') AS status FROM deliveries GROUP BY ALL)
     SELECT channel, count(*) AS notifications, count(*) FILTER (WHERE status = 'sent') AS sent,
       round(count(*) FILTER (WHERE status = 'sent') * 100.0 / count(*), 4)::DOUBLE AS success_rate FROM last GROUP BY channel""",
 )

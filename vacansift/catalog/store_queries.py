@@ -248,7 +248,7 @@ def mark_digested(spark: SparkSession, folder: str) -> DataFrame:
 
 def _toggled(flag: str, wanted: str) -> str:
     return (
-        f"SELECT source_url, arg_max(value, (at, command_id)) AS value, arg_max(at, (at, command_id)) AS at "
+        f"SELECT source_url, arg_max(value, (moment, command_id)) AS value, arg_max(moment, (moment, command_id)) AS moment "
         f"FROM toggles WHERE {wanted} GROUP BY source_url"
     )
 
@@ -256,10 +256,10 @@ def _toggled(flag: str, wanted: str) -> str:
 @query(
     "toggle_state",
     f"""WITH {R.STORE_SQL}, {R.TOGGLES_SQL}, sv AS ({_toggled('saved', 'for_saved')}), ap AS ({_toggled('applied', 'NOT for_saved')})
-    SELECT s.source_url, CASE WHEN sv.at IS NULL THEN s.saved ELSE sv.value END AS saved,
-      strftime(CASE WHEN sv.at IS NULL THEN s.saved_at WHEN sv.value THEN sv.at END, '%Y-%m-%d %H:%M:%S') AS saved_at,
-      CASE WHEN ap.at IS NULL THEN s.applied ELSE ap.value END AS applied,
-      strftime(CASE WHEN ap.at IS NULL THEN s.applied_at WHEN ap.value THEN ap.at END, '%Y-%m-%d %H:%M:%S') AS applied_at
+    SELECT s.source_url, CASE WHEN sv.moment IS NULL THEN s.saved ELSE sv.value END AS saved,
+      strftime(CASE WHEN sv.moment IS NULL THEN s.saved_at WHEN sv.value THEN sv.moment END, '%Y-%m-%d %H:%M:%S') AS saved_at,
+      CASE WHEN ap.moment IS NULL THEN s.applied ELSE ap.value END AS applied,
+      strftime(CASE WHEN ap.moment IS NULL THEN s.applied_at WHEN ap.value THEN ap.moment END, '%Y-%m-%d %H:%M:%S') AS applied_at
     FROM store s LEFT JOIN sv USING (source_url) LEFT JOIN ap USING (source_url)""",
 )
 def toggle_state(spark: SparkSession, folder: str) -> DataFrame:
@@ -277,11 +277,11 @@ def toggle_state(spark: SparkSession, folder: str) -> DataFrame:
         "{outbox}",
         """outbox AS (
       SELECT source_url, channel,
-        coalesce(arg_max(outcome, (at, event_id)) FILTER (WHERE outcome <> 'pending'), 'pending') AS status,
+        coalesce(arg_max(outcome, (moment, event_id)) FILTER (WHERE outcome <> 'pending'), 'pending') AS status,
         (count(*) FILTER (WHERE outcome <> 'pending'))::INT AS attempts,
-        arg_max_null(CASE WHEN outcome = 'failed' THEN error END, (at, event_id)) FILTER (WHERE outcome <> 'pending') AS last_error,
-        max(at) FILTER (WHERE outcome = 'sent') AS sent_at, min(at) AS created_at,
-        coalesce(max(at) FILTER (WHERE outcome <> 'pending'), min(at)) AS updated_at
+        arg_max_null(CASE WHEN outcome = 'failed' THEN error END, (moment, event_id)) FILTER (WHERE outcome <> 'pending') AS last_error,
+        max(moment) FILTER (WHERE outcome = 'sent') AS sent_at, min(moment) AS created_at,
+        coalesce(max(moment) FILTER (WHERE outcome <> 'pending'), min(moment)) AS updated_at
       FROM deliveries GROUP BY source_url, channel)""",
     ),
 )

@@ -14,7 +14,9 @@ def match(texts: DataFrame, terms: DataFrame, column: str) -> DataFrame:
     only terms that occur are joined back to their profiles by equality.
     """
     vocabulary = terms.agg(F.array_sort(F.collect_set("term"))).scalar()
-    found = F.filter(vocabulary, lambda term: F.contains(F.col(column), term))
+    found = F.filter("vocabulary", lambda term: F.contains(F.col(column), term))
     others = [c for c in texts.columns if c != column]
-    hits = texts.select(*others, F.explode(found).alias("term"))
+    hits = texts.select("*", vocabulary.alias("vocabulary")).select(
+        *others, F.explode(found).alias("term")
+    )
     return hits.join(terms, "term")
