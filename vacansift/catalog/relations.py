@@ -246,7 +246,8 @@ def details(spark: SparkSession, folder: str) -> DataFrame:
         pick(rules.DETAIL_ENDS, k),
         F.lit("</h2>\n<p>Send a diploma.</p></div><footer>Degree</footer></body></html>"),
     )
-    return table(spark, folder, "orders").where((k % 5 == 0) & (k % 4 != 0)).select(
+    orders = spread(table(spark, folder, "orders").select(*ORDER_COLUMNS))
+    return orders.where((k % 5 == 0) & (k % 4 != 0)).select(
         F.concat(F.lit("https://jobs.example/job/"), k.cast("string")).alias("source_url"),
         F.when(k % 35 == 0, F.lit("<html><body>nothing</body></html>")).otherwise(html).alias("html"),
     )
@@ -331,7 +332,7 @@ def feed(spark: SparkSession, folder: str) -> DataFrame:
         .alias("source"),
         F.when(k % 4 == 0, named("Kenya", "Uganda")).when(k % 4 == 1, named("Kenya")).alias("country"),
     )
-    return table(spark, folder, "orders").select(
+    return spread(table(spark, folder, "orders").select(*ORDER_COLUMNS)).select(
         k.alias("k"), F.to_json(F.struct(fields.alias("fields"))).alias("entry")
     )
 

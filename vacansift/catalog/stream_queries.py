@@ -10,7 +10,7 @@ from vacansift.catalog import relations as R
 from vacansift.catalog.registry import query
 from vacansift.catalog.store_queries import SCAN_SQL
 from vacansift.operators import store as stores
-from vacansift.schemas import LISTING, STORE
+from vacansift.schemas import LISTING
 from vacansift.session import new_folder
 from vacansift.sources import details as detail_pages
 from vacansift.streaming import incremental
@@ -30,7 +30,7 @@ def incremental_scan(spark: SparkSession, folder: str) -> DataFrame:
     root = new_folder(spark, "incremental")
     landing, base_path, pages_path = f"{root}/landing", f"{root}/base", f"{root}/details"
     stores.write_snapshot(R.store(spark, folder), base_path)
-    base = spark.read.schema(STORE).parquet(base_path)
+    base = stores.read_snapshot(spark, base_path)
     detail_pages.parse(R.details(spark, folder)).write.parquet(pages_path)
     pages = spark.read.parquet(pages_path)
     listed = R.postings(spark, folder).select(*LISTING.names)

@@ -80,7 +80,12 @@ def source_counts(listings: DataFrame) -> DataFrame:
     return listings.groupBy("source").agg(F.count(F.lit(1)).alias("fetched"))
 
 
-def paged(crawl: DataFrame, categories: int, max_page: int) -> DataFrame:
+def paged(
+    crawl: DataFrame,
+    categories: int,
+    max_page: int,
+    boards: Sequence[str] = rules.BOARDS,
+) -> DataFrame:
     """Listings an overlap-stopped crawl collects, with the page they came from.
 
     Every category of a board is read page by page until a page has no URL the
@@ -89,14 +94,14 @@ def paged(crawl: DataFrame, categories: int, max_page: int) -> DataFrame:
 
     One aggregation reduces the crawl to a row per (source, URL) with its first
     page in each category. The stop pages are then found category by category:
-    each step only adds a count per source and page, a table bounded by
-    the number of boards, to the same reduced table.
+    each step only adds one row per configured board to the same reduced table.
     """
     firsts = [
         F.min(F.when(F.col("category_ord") == c, F.col("page"))).alias(f"page_{c}")
         for c in range(categories)
     ]
-    urls = crawl.groupBy("source", "source_url").agg(*firsts)
+    listed = crawl.where(F.col("source").isin(*boards))
+    urls = listed.groupBy("source", "source_url").agg(*firsts)
 
     seen = F.lit(False)
     for c in range(categories):
@@ -110,7 +115,7 @@ def paged(crawl: DataFrame, categories: int, max_page: int) -> DataFrame:
             F.lit(max_page + 1),
         )
         stops = urls.groupBy("source").agg(*per_page).select("source", stop.alias(f"stop_{c}"))
-        # One row per board of the configuration.
+        # At most one row per configured board.
         urls = urls.join(F.broadcast(stops), "source")
         seen = seen | F.coalesce(F.col(f"page_{c}") < F.col(f"stop_{c}"), F.lit(False))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -240,6 +240,10 @@ def write_snapshot(store: DataFrame, path: str) -> None:
     store.write.mode("errorifexists").partitionBy("category").parquet(path)
 
 
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(STORE).parquet(path).select(*STORE.names)
+
+
 def write_bucketed(store: DataFrame, table: str, buckets: int) -> None:
     """Save a snapshot bucketed by URL: later merges shuffle only the batch."""
     (
