@@ -13,6 +13,7 @@ from vacansift.catalog.scoring_queries import DETAILS_SQL
 from vacansift.operators import collect, outbox, scoring
 from vacansift.operators import store as stores
 from vacansift.plans import digest, maintain, scan
+from vacansift.session import new_folder
 from vacansift.sources import details as detail_pages
 from vacansift.sources.tables import surrogate_id, table
 
@@ -125,13 +126,19 @@ alerted AS (
   FROM merged)"""
 
 
-def _scan(spark: SparkSession, folder: str, failed: DataFrame | None = None) -> scan.Scan:
+def _scan(
+    spark: SparkSession,
+    folder: str,
+    failed: DataFrame | None = None,
+    work_folder: str | None = None,
+) -> scan.Scan:
     return scan.run(
         R.postings(spark, folder),
         R.store(spark, folder),
         detail_pages.parse(R.details(spark, folder)),
         DAY,
         failed_urls=failed,
+        work_folder=work_folder,
     )
 
 
@@ -213,7 +220,8 @@ def scan_metrics(spark: SparkSession, folder: str) -> DataFrame:
     number = F.regexp_extract("source_url", r"(\d+)$", 1).cast("long")
     listed = R.postings(spark, folder).where(collect.known_url())
     failed = listed.select("source_url").where(number % 7 == 0)
-    return _scan(spark, folder, failed).metrics
+    # Several counters read the judged rows: written once, read back.
+    return _scan(spark, folder, failed, new_folder(spark, "judged")).metrics
 
 
 # ------------------------------------------------------------------- flags --

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vacansift import rules
-from vacansift.functions.text import contains_any
+from vacansift.functions.text import contains_any, once
 
 
 def day(as_of: dt.date | Column) -> Column:
@@ -30,7 +30,7 @@ def deadline_window(text: Column) -> Column:
         rf"(?isU)(?:{rules.DEADLINE_KEYWORD_PATTERN})(.{{0,{rules.DEADLINE_WINDOW}}})",
         1,
     )
-    likely = contains_any(F.lower(text), ("deadline", "closing", "apply"))
+    likely = once(F.lower(text), lambda t: contains_any(t, ("deadline", "closing", "apply")))
     return F.when(likely, window).otherwise(F.lit(""))
 
 
@@ -51,7 +51,7 @@ def date_in_window(window: Column) -> Column:
 
 
 def extract_deadline(text: Column) -> Column:
-    return date_in_window(deadline_window(text))
+    return once(deadline_window(text), date_in_window)
 
 
 def day_month_text(text: Column) -> Column:
@@ -74,26 +74,33 @@ def posted_day_month(text: Column, as_of: dt.date | Column) -> Column:
 
 def posted_relative(text: Column, as_of: dt.date | Column) -> Column:
     """today / yesterday / N days, weeks (7) or months (30) ago."""
-    phrase = F.lower(F.regexp_extract(text, "(?iU)" + rules.RELATIVE_DATE_PATTERN, 1))
-    amount = F.regexp_extract(phrase, r"^(\d+)", 1).try_cast("int")
-    unit = (
-        F.when(F.contains(phrase, F.lit("day")), 1)
-        .when(F.contains(phrase, F.lit("week")), 7)
-        .when(F.contains(phrase, F.lit("month")), 30)
-    )
     today = day(as_of)
-    return (
-        F.when(phrase == "today", today)
-        .when(phrase == "yesterday", F.date_sub(today, 1))
-        .when(amount.isNotNull(), F.date_sub(today, F.try_multiply(amount, unit)))
-    )
+
+    def resolved(phrase: Column) -> Column:
+        amount = F.regexp_extract(phrase, r"^(\d+)", 1).try_cast("int")
+        unit = (
+            F.when(F.contains(phrase, F.lit("day")), 1)
+            .when(F.contains(phrase, F.lit("week")), 7)
+            .when(F.contains(phrase, F.lit("month")), 30)
+        )
+        return (
+            F.when(phrase == "today", today)
+            .when(phrase == "yesterday", F.date_sub(today, 1))
+            .when(amount.isNotNull(), F.date_sub(today, F.try_multiply(amount, unit)))
+        )
+
+    return once(F.lower(F.regexp_extract(text, "(?iU)" + rules.RELATIVE_DATE_PATTERN, 1)), resolved)
 
 
 def posted_month_day_year(text: Column, word_end: bool = True) -> Column:
     """First "September 9, 2026" (capitalised month); optionally glued to more text."""
     pattern = "(?U)" + rules.CARD_DATE_PATTERN + (r"\b" if word_end else "")
-    m, d, y = _groups(text, pattern)
-    return _parsed([d, m, y], "d MMMM yyyy")
+
+    def parsed(found: Column) -> Column:
+        m, d, y = _groups(found, rules.CARD_DATE_PATTERN)
+        return _parsed([d, m, y], "d MMMM yyyy")
+
+    return once(F.regexp_extract(text, pattern, 0), parsed)
 
 
 def posted_from_permalink(href: Column) -> Column:

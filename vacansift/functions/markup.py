@@ -66,11 +66,16 @@ def unescape(text: Column) -> Column:
     return once(text, whole)
 
 
-def block_text(html: Column) -> Column:
-    """Visible text, one space between text nodes, white space collapsed."""
-    return collapse_whitespace(unescape(replace_tags(drop_invisible(html), " ")))
+def block_text(html: Column, visible: bool = False) -> Column:
+    """Visible text, one space between text nodes, white space collapsed.
 
+    ``visible``: scripts, styles and comments are already gone.
+    """
+    shown = html if visible else drop_invisible(html)
+    return collapse_whitespace(unescape(replace_tags(shown, " ")))
 
-def inline_text(html: Column) -> Column:
+
+def inline_text(html: Column, visible: bool = False) -> Column:
     """Text of a single element: tags vanish without a gap, ends are stripped."""
-    return strip_whitespace(unescape(replace_tags(drop_invisible(html), "")))
+    shown = html if visible else drop_invisible(html)
+    return strip_whitespace(unescape(replace_tags(shown, "")))

@@ -52,14 +52,19 @@ def without_bare_africa(rule: Column, remote: Column) -> Column:
     return F.when((rule == rules.AFRICA) & ~remote, F.lit(rules.UNKNOWN)).otherwise(rule)
 
 
-def looks_remote(title: Column, location: Column, description: Column) -> Column:
-    """Remote wording in title or location, or an unmistakable phrase in the text."""
+def looks_remote(
+    title: Column, location: Column, description: Column, lowered: Column | None = None
+) -> Column:
+    """Remote wording in title or location, or an unmistakable phrase in the text.
+
+    ``lowered``: the description in lower case, where it already is a column.
+    """
     headline = F.concat(
         F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(location, F.lit(""))
     )
     body = F.coalesce(description, F.lit(""))
     return matches(headline, rules.REMOTE_HEADLINE_PATTERN) | matches(
-        body, rules.REMOTE_BODY_PATTERN, anchors=("remote", "home", "anywhere")
+        body, rules.REMOTE_BODY_PATTERN, ("remote", "home", "anywhere"), lowered
     )
 
 

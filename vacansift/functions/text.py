@@ -41,16 +41,23 @@ def shortest_terms(terms: Iterable[str]) -> list[str]:
     return kept
 
 
-def matches(text: Column, pattern: str, anchors: Sequence[str] = ()) -> Column:
+def matches(
+    text: Column, pattern: str, anchors: Sequence[str] = (), lowered: Column | None = None
+) -> Column:
     """Case-insensitive, Unicode-aware regex test.
 
-    ``anchors`` are lower-case literals of which every match contains one: a
-    byte search for them skips the regex engine on most texts.
+    ``anchors`` are lower-case words of which every match contains one: a byte
+    search for them skips the regex engine on most texts. Pass ``lowered``, the
+    text in lower case, where it already is a column.
     """
     test = F.coalesce(text.rlike(f"(?iU){pattern}"), F.lit(False))
     if not anchors:
         return test
-    return contains_any(F.lower(text), anchors) & test
+    if lowered is None:
+        likely = once(F.lower(text), lambda t: contains_any(t, anchors))
+    else:
+        likely = contains_any(lowered, anchors)
+    return F.coalesce(likely, F.lit(False)) & test
 
 
 def collapse_whitespace(text: Column) -> Column:

@@ -43,7 +43,7 @@ def with_eligibility(postings: DataFrame) -> DataFrame:
         {
             "place_rule": places.eligibility_rule(F.col("place_text")),
             "remote_wording": places.looks_remote(
-                F.col("title"), F.col("location"), F.col("description")
+                F.col("title"), F.col("location"), F.col("description"), F.col("description_n")
             ),
         }
     )
