@@ -11,6 +11,7 @@ from vacansift.operators import outbox, reports
 from vacansift.operators import store as stores
 from vacansift.plans import digest, maintain, scan
 from vacansift.schemas import LISTING, STORE
+from vacansift.sources import tables
 
 DAY = dt.date(2026, 9, 1)
 NOW = dt.datetime(2026, 9, 1)
@@ -304,3 +305,33 @@ def test_snapshot_sinks(spark, tmp_path):
     path = str(tmp_path / "snap")
     stores.write_snapshot(store, path)
     assert stores.read_snapshot(spark, path).exceptAll(store).isEmpty()
+
+
+def test_bucketed_store_is_not_shuffled(spark, tmp_path):
+    stores.write_bucketed(
+        spark.createDataFrame([posting(f"u{i}") for i in range(50)], STORE), "bucketed_store", 8,
+        str(tmp_path / "bucketed"),
+    )
+    rows = spark.createDataFrame([posting("u1"), posting("u1"), posting("new")], STORE)
+    batch = rows.withColumn("seq", F.lit(1)).select("seq", "source_url", *stores.PAYLOAD)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        merged = stores.upsert(spark.table("bucketed_store"), batch, DAY, ("seq",))
+        plan = merged._jdf.queryExecution().sparkPlan().toString()
+        full = merged._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "FullOuter" in plan and full.count("Exchange hashpartitioning") == 1
+    assert merged.where("is_new").count() == 1 and merged.where("touched").count() == 1
+    spark.sql("DROP TABLE bucketed_store")
+
+
+def test_lookup_reaches_the_scan(spark, tmp_path):
+    path = str(tmp_path / "store")
+    spark.createDataFrame([posting("a"), posting("b")], STORE).write.parquet(path)
+    store = spark.read.parquet(path)
+    assert tables.exists(store, "a") and not tables.exists(store, "zz")
+    found = tables.by_url(store, "b").select("title")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(source_url,b)" in plan and "description" not in plan

@@ -11,7 +11,7 @@ from vacansift.catalog import sql_rules as S
 from vacansift.catalog.registry import query
 from vacansift.functions import dates, links, markup, places, qualification, text
 from vacansift.operators import reports, scoring
-from vacansift.sources.tables import table
+from vacansift.sources.tables import spread, table
 
 DAY = R.AS_OF
 K, C = "o_orderkey", "o_custkey"
@@ -19,7 +19,7 @@ K, C = "o_orderkey", "o_custkey"
 
 @query("normalize_text", f"SELECT doc_id, {S.normal('text')} AS text_n FROM documents")
 def normalize_text(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents")).select(
         "doc_id", text.normalize_text(F.col("text")).alias("text_n")
     )
 
@@ -315,7 +315,7 @@ def match_skills(spark: SparkSession, folder: str) -> DataFrame:
       '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS escaped FROM pages""",
 )
 def html_escape(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "pages").select(
+    return spread(table(spark, folder, "pages")).select(
         "page_id", text.html_escape(F.col("html")).alias("escaped")
     )
 
@@ -364,7 +364,7 @@ def looks_remote_documents(spark: SparkSession, folder: str) -> DataFrame:
 )
 def sentences(spark: SparkSession, folder: str) -> DataFrame:
     split = qualification.split_sentences(qualification.strip_benign(F.col("text")))
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents")).select(
         "doc_id", F.posexplode(split).alias("pos", "sentence")
     )
 
@@ -414,7 +414,7 @@ _PAGE_TEXT = (
     rf"SELECT page_id, trim(regexp_replace({_PAGE_TEXT}, '[\s\x0b\x{{85}}\x{{a0}}]+', ' ', 'g')) AS text FROM pages",
 )
 def page_text(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "pages").select("page_id", markup.block_text(F.col("html")).alias("text"))
+    return spread(table(spark, folder, "pages")).select("page_id", markup.block_text(F.col("html")).alias("text"))
 
 
 @query(
@@ -426,7 +426,7 @@ def page_text(spark: SparkSession, folder: str) -> DataFrame:
 )
 def url_forms(spark: SparkSession, folder: str) -> DataFrame:
     path = F.regexp_extract("url", "^https?://[^/]+(.*)$", 1)
-    return table(spark, folder, "pages").select(
+    return spread(table(spark, folder, "pages")).select(
         "page_id",
         links.one_trailing_slash(links.without_query(F.col("url"))).alias("tidy"),
         links.absolute(path, "https://host.example").alias("full_url"),

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacansift import rules
+from vacansift.functions.text import literal_list
 from vacansift.sources.tables import spread, table
 
 AS_OF = dt.date(2001, 8, 1)
@@ -92,7 +93,7 @@ PAGES_PER_CATEGORY = 3
 
 
 def pick(values: Sequence[str], index: Column) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in values]), (index % len(values)).cast("int"))
+    return F.get(literal_list(values), (index % len(values)).cast("int"))
 
 
 def url_number(k: Column) -> Column:

@@ -19,6 +19,11 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def literal_list(values: Sequence[str]) -> Column:
+    """A constant array of strings (folded at planning time)."""
+    return F.split(F.lit("\x1f".join(values)), "\x1f")
+
+
 def any_of(conditions: Iterable[Column]) -> Column:
     """OR of all conditions; false when there is none."""
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
@@ -95,8 +100,9 @@ def clean_text(value: Column, data_type: T.DataType) -> Column:
 
 def matched_terms(text: Column, terms: Sequence[str]) -> Column:
     """Listed terms that occur as substrings, in list order."""
-    listed = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
-    return F.filter(listed, lambda term: F.contains(text, term))
+    if not terms:
+        return F.array().cast("array<string>")
+    return F.filter(literal_list(terms), lambda term: F.contains(text, term))
 
 
 def matched_words(text: Column, terms: Sequence[str]) -> Column:

@@ -244,12 +244,9 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STORE).parquet(path).select(*STORE.names)
 
 
-def write_bucketed(store: DataFrame, table: str, buckets: int) -> None:
+def write_bucketed(store: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
     """Save a snapshot bucketed by URL: later merges shuffle only the batch."""
-    (
-        store.write.mode("errorifexists")
-        .bucketBy(buckets, "source_url")
-        .sortBy("source_url")
-        .format("parquet")
-        .saveAsTable(table)
-    )
+    writer = store.write.mode("errorifexists").format("parquet")
+    if path is not None:
+        writer = writer.option("path", path)
+    writer.bucketBy(buckets, "source_url").sortBy("source_url").saveAsTable(table)
