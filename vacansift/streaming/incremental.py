@@ -17,20 +17,33 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from vacansift import rules
+from vacansift.operators import collect
 from vacansift.plans import scan
 from vacansift.schemas import LISTING, STORE
 
 _CHANGED = T.StructType([*STORE.fields, T.StructField("epoch", T.LongType())])
 
 
-def current(spark: SparkSession, root: str, base: DataFrame, before: int | None = None) -> DataFrame:
-    """The store after all batches, or after those before a given one."""
+def current(
+    spark: SparkSession,
+    root: str,
+    base: DataFrame,
+    before: int | None = None,
+    urls: DataFrame | None = None,
+) -> DataFrame:
+    """The store after all batches, or after those before a given one.
+
+    With ``urls`` only their rows: versions of other postings are left out
+    before the wide rows are grouped.
+    """
     versions = base.select(*STORE.names).withColumn("epoch", F.lit(-1).cast("long"))
     if before is None or before > 0:
         changed = spark.read.schema(_CHANGED).parquet(f"{root}/changes")
         if before is not None:
             changed = changed.where(F.col("epoch") < before)
         versions = versions.unionByName(changed)
+    if urls is not None:
+        versions = versions.join(urls, "source_url", "left_semi")
     others = [c for c in STORE.names if c != "source_url"]
     newest = versions.groupBy("source_url").agg(
         F.max_by(F.struct(*others), F.col("epoch")).alias("row")
@@ -56,7 +69,9 @@ def run_available(
 
     def one_scan(listings: DataFrame, epoch: int) -> None:
         session = listings.sparkSession
-        store = current(session, root, base, before=epoch)
+        # A scan changes only URLs it lists: the rest of the store is not moved.
+        urls = listings.where(collect.known_url()).select("source_url").distinct()
+        store = current(session, root, base, before=epoch, urls=urls)
         judged = scan.judge(listings, store, details, as_of, profile)
         # Written once: the merge and its aggregates read it back.
         staged = f"{root}/judged/epoch={epoch}"
