@@ -60,6 +60,12 @@ def read_model(path: str) -> Vocabulary:
     return Vocabulary(tuple(normal), tuple(byte_ids), tuple(surfaces), model.eos_id())
 
 
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Indices of ``lengths[k]`` entries from ``starts[k]`` on, for all k, one after another."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class _Hash:
     """Fixed map from non-negative int64 keys to floats, looked up for whole arrays."""
 
@@ -223,23 +229,33 @@ class PrefixTable:
             self.memo_keys[slots[missing]] = keys[missing]
         return out
 
-    def tokens(self, chunks: list[bytes]) -> list[np.ndarray]:
-        """Tokens of chunks of known characters, all chunks advancing byte by byte together."""
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(chunks)
-        by_size = sorted(range(len(chunks)), key=lambda c: len(chunks[c]))
-        at = 0
-        while at < len(by_size):  # groups of similar length, so that the table stays small
-            size = len(chunks[by_size[at]])
-            end = at
-            while end < len(by_size) and len(chunks[by_size[end]]) <= max(16, 2 * size) and (end - at) * size < 4_000_000:
-                end += 1
-            group = by_size[at:end][::-1]  # longest first
-            for c, tokens in zip(group, self._group([chunks[c] for c in group]), strict=True):
-                out[c] = tokens
+    def encode(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks of known characters, and offsets of the chunks; all chunks of similar length advance byte by byte together."""
+        sizes = np.array([len(c) for c in chunks], np.int64)
+        order = np.argsort(sizes, kind="stable")
+        ascending = sizes[order]
+        found, counts, at = [], [], 0
+        while at < len(order):
+            size = max(1, int(ascending[at]))
+            end = min(int(np.searchsorted(ascending, max(16, 2 * size), "right")), at + 1 + 4_000_000 // size)
+            group = order[at:end][::-1].copy()  # longest first
+            order[at:end] = group
+            tokens, many = self._group([chunks[c] for c in group])
+            found.append(tokens)
+            counts.append(many)
             at = end
-        return out
-
-    def _group(self, chunks: list[bytes]) -> list[np.ndarray]:
+        if not found:
+            return self.ids[:0], np.zeros(1, np.int64)
+        tokens, counts = np.concatenate(found), np.concatenate(counts)
+        token_starts, own = np.concatenate([[0], np.cumsum(counts)[:-1]]), np.empty(len(order), np.int64)
+        own[order] = np.arange(len(order))
+        tokens = tokens[ranges(token_starts[own], counts[own])]
+        offsets = np.concatenate([[0], np.cumsum(counts[own])])
+        widths = self.id_starts[tokens + 1] - self.id_starts[tokens]
+        id_offsets = np.concatenate([[0], np.cumsum(widths)])
+        return self.ids[ranges(self.id_starts[tokens], widths)], id_offsets[offsets]
+
+    def _group(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.array([len(c) for c in chunks], np.int64)
         most = int(lengths[0])
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
@@ -269,12 +285,10 @@ class PrefixTable:
             taken.append((rows, token))
             place[rows] -= self.sizes[token]
             rows = rows[place[rows] >= 0]
-        if not taken:
-            return [np.zeros(0, np.int64)] * len(chunks)
         of = np.concatenate([r for r, _ in taken])
         token = np.concatenate([t for _, t in taken])
         order = np.lexsort((-np.arange(len(of)), of))  # later finds stand further left
-        return np.split(token[order], np.cumsum(np.bincount(of, minlength=len(chunks)))[:-1])
+        return token[order], np.bincount(of, minlength=len(chunks))
 
 
 class Encoder:
@@ -296,37 +310,42 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         """Encode new words, each with a blank before it, and give them codes."""
-        parts = []  # per word: numbers of chunks to encode, or bytes that fall back
-        chunks: dict[str, int] = {}
+        chunks, words_of_one, mixed = [], [], []
+        search = self.unknown.search
         for word in words:
-            own = []
-            for k, part in enumerate(self.unknown.split(_BLANK + word.replace(" ", _BLANK))):
+            chunk = _BLANK + (word.replace(" ", _BLANK) if " " in word else word)
+            if search(chunk):
+                mixed.append((word, self.unknown.split(chunk)))
+            else:
+                words_of_one.append(word)
+                chunks.append(chunk.encode())
+        one = len(chunks)
+        parts: dict[str, int] = {}
+        for _, split in mixed:
+            for part in split[::2]:
+                if part:
+                    parts.setdefault(part, len(parts))
+        ids, offsets = self.table.encode(chunks + [p.encode() for p in parts])
+        new, ends = [ids[: offsets[one]]], (offsets[1 : one + 1] + self.ends[-1]).tolist()
+        end = self.ends[-1] + int(offsets[one])
+        for _, split in mixed:
+            for k, part in enumerate(split):
                 if k % 2:
-                    own.append(np.array([self.vocabulary.byte_ids[b] for b in part.encode("utf-8", "surrogatepass")], np.int32))
+                    own = np.array([self.vocabulary.byte_ids[b] for b in part.encode("utf-8", "surrogatepass")], np.int32)
                 elif part:
-                    own.append(chunks.setdefault(part, len(chunks)))
-            parts.append(own)
-        encoded = self.table.tokens([c.encode() for c in chunks])
-        table = self.table
-        if len(encoded):  # tokens to ids, for all chunks at once
-            counts = np.array([len(t) for t in encoded])
-            tokens = np.concatenate(encoded)
-            widths = table.id_starts[tokens + 1] - table.id_starts[tokens]
-            flat = table.ids[np.repeat(table.id_starts[tokens] - np.concatenate([[0], np.cumsum(widths)[:-1]]), widths) + np.arange(widths.sum())]
-            token_ends = np.concatenate([[0], np.cumsum(widths)])
-            bounds = token_ends[np.concatenate([[0], np.cumsum(counts)])]
-        pieces_, end = [], self.ends[-1]
-        for word, own in zip(words, parts, strict=True):
-            for x in own:
-                found = flat[bounds[x] : bounds[x + 1]] if isinstance(x, int) else x
-                pieces_.append(found)
-                end += len(found)
-            self.codes[word] = len(self.ends) - 1
-            self.ends.append(end)
+                    at = one + parts[part]
+                    own = ids[offsets[at] : offsets[at + 1]]
+                else:
+                    continue
+                new.append(own)
+                end += len(own)
+            ends.append(end)
+        start = self.ends[-1]
+        self.codes.update(zip(words_of_one + [w for w, _ in mixed], range(len(self.ends) - 1, len(self.ends) - 1 + len(words)), strict=True))
+        self.ends += ends
         if end > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.ends[-1 - len(words)]], np.empty(end, np.int32)])
-        if pieces_:
-            self.ids[self.ends[-1 - len(words)] : end] = np.concatenate(pieces_)
+            self.ids = np.concatenate([self.ids[:start], np.empty(end, np.int32)])
+        self.ids[start:end] = np.concatenate(new)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and offsets of the texts."""
@@ -342,13 +361,13 @@ class Encoder:
             self._forget()
         new = [w for w in distinct if w not in self.codes]
         if new:
-            self._learn(sorted(new))
+            self._learn(new)
         get = self.codes.__getitem__
-        codes = np.fromiter((c for words in lists for c in map(get, words)), np.int64)
+        codes = np.array([c for words in lists for c in map(get, words)], np.int64)
         ends = np.array(self.ends)
         widths = ends[codes + 1] - ends[codes]
         cumulative = np.concatenate([[0], np.cumsum(widths)])
-        flat = self.ids[np.repeat(ends[codes] - cumulative[:-1], widths) + np.arange(cumulative[-1])]
+        flat = self.ids[ranges(ends[codes], widths)]
         text_ends = cumulative[np.cumsum([len(words) for words in lists], dtype=np.int64)] if lists else np.zeros(0, np.int64)
         ids = np.insert(flat, text_ends, self.vocabulary.end_id)
         return ids.astype(np.int32), np.concatenate([[0], text_ends + np.arange(1, len(lists) + 1)])
@@ -384,7 +403,7 @@ def decoded(ids: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary) -> lis
     data = np.frombuffer(b"".join(vocabulary.surfaces), np.uint8)
     widths = sizes[ids]
     cumulative = np.concatenate([[0], np.cumsum(widths)])
-    raw = data[np.repeat(starts[ids] - cumulative[:-1], widths) + np.arange(cumulative[-1])].tobytes()
+    raw = data[ranges(starts[ids], widths)].tobytes()
     ends = cumulative[offsets].tolist()
     return [raw[a:b].decode("utf-8", "replace").removeprefix(" ") for a, b in zip(ends, ends[1:], strict=False)]
 
