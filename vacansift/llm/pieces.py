@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from vacansift.llm.arrow_text import pieces as text_pieces
 
@@ -393,7 +394,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*columns, "ids"])
 
-    return docs.select(*columns).mapInArrow(run, docs.select(*columns).schema.add("ids", "array<int>"))
+    return docs.select(*columns).mapInArrow(run, docs.select(*columns).schema.add("ids", ArrayType(IntegerType())))
 
 
 def decoded(ids: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary) -> list[str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacansift.llm import decontaminate, exact_dedup
+from vacansift.llm import decontaminate, exact_dedup, line_dedup
 from vacansift.llm.registry import query
 from vacansift.llm.shared import table
 
@@ -28,7 +28,7 @@ hits AS (
 ),
 covered AS (
     SELECT doc_id, count(*) AS n FROM (
-        SELECT DISTINCT doc_id, unnest(range(i, i + size)) AS at FROM hits) GROUP BY doc_id
+        SELECT DISTINCT doc_id, unnest(range(i, i + size)) AS pos FROM hits) GROUP BY doc_id
 ),
 met AS (
     SELECT doc_id, count(*) AS n, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
@@ -58,6 +58,44 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+OP5_SQL = rf"""
+WITH raw AS (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+        unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i,
+        len(string_split(coalesce(text, ''), chr(10))) AS n
+    FROM documents
+),
+placed AS (
+    SELECT doc_id, i, trim(line, {_SPACE}) AS content, line || CASE WHEN i < n - 1 THEN chr(10) ELSE '' END AS part,
+        greatest(count(*) FILTER (trim(line, {_SPACE}) <> '') OVER (PARTITION BY doc_id ORDER BY i), 1) AS pos
+    FROM raw
+),
+seq AS (
+    SELECT doc_id, pos, content, lead(content) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM placed WHERE content <> ''
+),
+copies AS (
+    SELECT doc_id, pos FROM (
+        SELECT doc_id, pos, row_number() OVER (PARTITION BY content, next ORDER BY doc_id, pos) AS k FROM seq WHERE next IS NOT NULL
+    ) WHERE k > 1
+),
+gone AS (SELECT DISTINCT doc_id, pos + step AS pos FROM copies, (VALUES (0), (1)) AS s(step))
+SELECT placed.doc_id, count(*) FILTER (content <> '') AS n_lines, count(*) FILTER (content <> '' AND gone.pos IS NOT NULL) AS n_removed,
+    sha256(coalesce(string_agg(part, '' ORDER BY i) FILTER (gone.pos IS NULL), '')) AS kept_sha256
+FROM placed LEFT JOIN gone ON placed.doc_id = gone.doc_id AND placed.pos = gone.pos
+GROUP BY placed.doc_id
+"""
+
+
+@query("op5_line_dedup", OP5_SQL)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return line_dedup.dedup(docs).select(
+        "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    )
+
+
 OP6_SQL = r"""
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
