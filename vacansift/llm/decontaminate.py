@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacansift.functions.text import once
-from vacansift.llm.shared import ascii_lower, text_or_empty
+from vacansift.llm.shared import ascii_lower, saved, text_or_empty
 
 WINDOW = 13
 GRAM = 8
@@ -135,7 +135,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
             _around(F.col("words"), F.col("g.at"), F.col("g.size")).alias("doc_words"),
         )
     )
-    starts = _extended(found)
+    starts = saved(_extended(found), "contaminated-windows")  # read twice below
     covered = (
         starts.select("doc_id", "key", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("at"))
         .distinct()
