@@ -44,10 +44,18 @@ def test_paging_stop(spark):
     df = spark.createDataFrame(
         rows, "source string, source_url string, category_ord int, page int, pos int"
     )
-    got = {tuple(r) for r in collect.paged(df, 4, 3, boards).collect()}
+    found = collect.paged(df).select("source", "source_url", "category_ord", "page")
+    got = {tuple(r) for r in found.collect()}
     assert got == simulate(rows, boards, 4, 3)
 
 
+def test_paging_takes_any_board_and_page(spark):
+    rows = [("a new board", f"u{p}", 17, p, 0) for p in range(1, 8)] + [("b", "late", 0, 2, 0)]
+    df = spark.createDataFrame(rows, "source string, source_url string, category_ord int, page int, pos int")
+    got = sorted((r.source, r.page) for r in collect.paged(df).collect())
+    assert got == [("a new board", p) for p in range(1, 8)]  # page 1 of the other board shows nothing new
+
+
 def test_first_seen_backfilled_with_a_hot_url(spark):
     rng = random.Random(3)
     rows = []

@@ -107,7 +107,7 @@ def _paging_sql() -> str:
 
 @query("paging_stop", _paging_sql())
 def paging_stop(spark: SparkSession, folder: str) -> DataFrame:
-    return collect.paged(R.crawl(spark, folder), R.CATEGORIES_PER_BOARD, R.PAGES_PER_CATEGORY)
+    return collect.paged(R.crawl(spark, folder))
 
 
 @query(

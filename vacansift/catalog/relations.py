@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from vacansift import rules
 from vacansift.functions.text import literal_list
-from vacansift.sources.tables import spread, table
+from vacansift.sources.tables import table
 
 AS_OF = dt.date(2001, 8, 1)
 
@@ -146,7 +146,7 @@ def raw_postings(orders: DataFrame) -> DataFrame:
 
 def postings(spark: SparkSession, folder: str) -> DataFrame:
     """One posting per order."""
-    return raw_postings(spread(table(spark, folder, "orders").select(*ORDER_COLUMNS)))
+    return raw_postings(table(spark, folder, "orders").select(*ORDER_COLUMNS))
 
 
 def company_postings(spark: SparkSession, folder: str) -> DataFrame:
@@ -160,7 +160,7 @@ def company_postings(spark: SparkSession, folder: str) -> DataFrame:
 def text_postings(spark: SparkSession, folder: str) -> DataFrame:
     """One posting per document: the whole text between two phrases."""
     d = F.col("doc_id")
-    return spread(table(spark, folder, "documents")).select(
+    return table(spark, folder, "documents").select(
         d.alias("k"),
         F.lit("MyJobMag").alias("source"),
         F.concat(F.lit("https://docs.example/job/"), d.cast("string")).alias("source_url"),
@@ -247,7 +247,7 @@ def details(spark: SparkSession, folder: str) -> DataFrame:
         pick(rules.DETAIL_ENDS, k),
         F.lit("</h2>\n<p>Send a diploma.</p></div><footer>Degree</footer></body></html>"),
     )
-    orders = spread(table(spark, folder, "orders").select(*ORDER_COLUMNS))
+    orders = table(spark, folder, "orders").select(*ORDER_COLUMNS)
     return orders.where((k % 5 == 0) & (k % 4 != 0)).select(
         F.concat(F.lit("https://jobs.example/job/"), k.cast("string")).alias("source_url"),
         F.when(k % 35 == 0, F.lit("<html><body>nothing</body></html>")).otherwise(html).alias("html"),
@@ -333,7 +333,7 @@ def feed(spark: SparkSession, folder: str) -> DataFrame:
         .alias("source"),
         F.when(k % 4 == 0, named("Kenya", "Uganda")).when(k % 4 == 1, named("Kenya")).alias("country"),
     )
-    return spread(table(spark, folder, "orders").select(*ORDER_COLUMNS)).select(
+    return table(spark, folder, "orders").select(*ORDER_COLUMNS).select(
         k.alias("k"), F.to_json(F.struct(fields.alias("fields"))).alias("entry")
     )
 

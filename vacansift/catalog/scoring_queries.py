@@ -176,7 +176,7 @@ ENRICHED_SQL = f"""withpages AS (
 @query(
     "qualify_enrich",
     f"""WITH {R.POSTINGS_SQL}, {DETAILS_SQL}, {ENRICHED_SQL}
-    SELECT k, level, coalesce(left(nullif(body, ''), 10000), description) AS description,
+    SELECT k, level, coalesce(nullif(body, ''), description) AS description,
       coalesce(deadline_date, {S.deadline("nullif(body, '')")}) AS deadline_date,
       CASE WHEN level = 'confirmed' THEN 70 ELSE 55 END::INT AS score, 'consider' AS tier,
       array_to_string(verdict_reasons, '; ') AS reasons

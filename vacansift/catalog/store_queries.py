@@ -88,7 +88,7 @@ def upsert(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "payload_projection",
     f"""WITH {R.TEXT_POSTINGS_SQL}, {CATEGORISED_SQL}
-    SELECT source_url, left(description, 10000) AS description, nullif(employment_type, '') AS employment_type,
+    SELECT source_url, description, nullif(employment_type, '') AS employment_type,
       zone_rank, array_to_string(reasons, '; ') AS reasons, array_to_string(blockers, '; ') AS blockers
     FROM stored""",
 )
@@ -111,7 +111,7 @@ verdicts AS (
     posted_date, deadline_date, category, zone_rank, reasons, blockers, remote_wording, true AS ok
   FROM stored WHERE category <> 'FORM4' AND source_url <> ''
   UNION ALL BY NAME
-  SELECT source_url, seq, source, title, company, location, coalesce(left(nullif(body, ''), 10000), description) AS description,
+  SELECT source_url, seq, source, title, company, location, coalesce(nullif(body, ''), description) AS description,
     (CASE WHEN level = 'confirmed' THEN 70 ELSE 55 END)::INT AS score, 'consider' AS tier, eligibility, employment_type,
     posted_date, coalesce(deadline_date, {S.deadline("nullif(body, '')")}) AS deadline_date, category, zone_rank,
     verdict_reasons AS reasons, []::VARCHAR[] AS blockers, remote_wording, ok

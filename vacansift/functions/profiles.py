@@ -2,21 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_PIECE = 4
 
-def match(texts: DataFrame, terms: DataFrame, column: str) -> DataFrame:
-    """One row per (text row, profile, term) where the text contains the term.
 
-    ``terms``: profile, term. The distinct terms reach every task as one array
-    (a scalar subquery), each text is searched for each distinct term once, and
-    only terms that occur are joined back to their profiles by equality.
+def _pieces(text: Column, size: int) -> Column:
+    """The distinct substrings of one length."""
+    starts = F.sequence(F.lit(1), F.length(text) - (size - 1))
+    cut = F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(size))))
+    return F.when(F.length(text) >= size, cut).otherwise(F.array().cast("array<string>"))
+
+
+def match(texts: DataFrame, terms: DataFrame, column: str, key: str = "k") -> DataFrame:
+    """One row per (text row, profile, term) where the text contains the term, which may lie across words.
+
+    ``terms``: profile, term. ``key`` tells text rows apart. A term is looked for by its rarest piece of four characters (shorter
+    terms whole): pieces of texts meet pieces of terms in an equality join on narrow rows, and only texts with a term's piece are
+    searched for the term. How rare a piece is, is counted over the terms, so that one piece does not stand for many of them. Empty terms and terms
+    that are null match nothing. At most four term lengths come to the driver.
     """
-    vocabulary = terms.agg(F.array_sort(F.collect_set("term"))).scalar()
-    found = F.filter("vocabulary", lambda term: F.contains(F.col(column), term))
+    distinct = terms.select("term").where("term <> ''").distinct()
+    size = F.least(F.length("term"), F.lit(_PIECE))
+    sizes = sorted(r[0] for r in distinct.select(size).distinct().collect())
     others = [c for c in texts.columns if c != column]
-    hits = texts.select("*", vocabulary.alias("vocabulary")).select(
-        *others, F.explode(found).alias("term")
-    )
+    if not sizes:
+        return texts.select(*others).join(terms.limit(0), F.lit(True))
+    pieces = F.concat(*[F.when(size == n, _pieces(F.col("term"), n)).otherwise(F.array().cast("array<string>")) for n in sizes])
+    spread = distinct.select("term", F.explode(pieces).alias("piece"))
+    common = spread.groupBy("piece").agg(F.count(F.lit(1)).alias("uses"))
+    anchors = spread.join(common, "piece").groupBy("term").agg(F.min_by("piece", F.struct("uses", "piece")).alias("piece"))
+    parts = F.concat(*[_pieces(F.col(column), n) for n in sizes])
+    likely = texts.select(key, F.explode(parts).alias("piece")).join(anchors, "piece").select(key, "term").distinct()
+    hits = texts.join(likely, key).where(F.contains(F.col(column), F.col("term"))).select(*others, "term")
     return hits.join(terms, "term")

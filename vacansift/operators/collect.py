@@ -10,11 +10,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacansift import rules
 from vacansift.schemas import BACKFILLED
+from vacansift.session import written
 
 
 def union_boards(frames: Sequence[DataFrame]) -> DataFrame:
@@ -80,58 +81,32 @@ def source_counts(listings: DataFrame) -> DataFrame:
     return listings.groupBy("source").agg(F.count(F.lit(1)).alias("fetched"))
 
 
-def paged(
-    crawl: DataFrame,
-    categories: int,
-    max_page: int,
-    boards: Sequence[str] = rules.BOARDS,
-) -> DataFrame:
+def paged(crawl: DataFrame) -> DataFrame:
     """Listings an overlap-stopped crawl collects, with the page they came from.
 
-    Every category of a board is read page by page until a page has no URL the
-    board has not shown yet; pages after the stop are never read, so their URLs
-    do not count as seen for later categories.
+    Every category of a board is read page by page, from page 1, until a page has no URL the board has not shown yet; pages after the stop
+    are never read, so their URLs do not count as seen for later categories. Boards, categories and pages are those of the data.
 
-    One aggregation reduces the crawl to a row per (source, URL) with its first
-    page in each category. The stop pages are then found category by category:
-    each step only adds one row per configured board to the same reduced table.
+    The crawl is reduced once to the first page of each (source, URL, category) and written. Categories then follow one another, since
+    each needs the URLs kept before it: every step reads its own category's rows and the narrow rows kept so far, so the work of
+    all steps together grows with the crawl. Only the list of category numbers comes to the driver.
     """
-    firsts = [
-        F.min(F.when(F.col("category_ord") == c, F.col("page"))).alias(f"page_{c}")
-        for c in range(categories)
-    ]
-    listed = crawl.where(F.col("source").isin(*boards))
-    urls = listed.groupBy("source", "source_url").agg(*firsts)
-
-    seen = F.lit(False)
-    for c in range(categories):
-        fresh = F.col(f"page_{c}").isNotNull() & ~seen
-        per_page = [
-            F.count_if(fresh & (F.col(f"page_{c}") == p)).alias(f"n{p}")
-            for p in range(1, max_page + 1)
-        ]
-        stop = F.coalesce(
-            *[F.when(F.col(f"n{p}") == 0, F.lit(p)) for p in range(1, max_page + 1)],
-            F.lit(max_page + 1),
+    key = ["source", "source_url"]
+    firsts = written(crawl.groupBy(*key, "category_ord").agg(F.min("page").alias("page")), "first-pages")
+    categories = sorted(r[0] for r in firsts.select("category_ord").where("category_ord IS NOT NULL").distinct().collect())
+    kept: DataFrame | None = None
+    for category in categories:
+        fresh = firsts.where(F.col("category_ord") == category)
+        if kept is not None:
+            fresh = fresh.join(kept.select(*key), key, "left_anti")
+        # A page that is its own number in the list of pages with fresh URLs comes before the stop.
+        in_order = Window.partitionBy("source").orderBy("page")
+        read = (
+            fresh.select("source", "page").distinct()
+            .withColumn("place", F.row_number().over(in_order))
+            .where("page = place")
+            .select("source", "page")
         )
-        stops = urls.groupBy("source").agg(*per_page).select("source", stop.alias(f"stop_{c}"))
-        # At most one row per configured board.
-        urls = urls.join(F.broadcast(stops), "source")
-        seen = seen | F.coalesce(F.col(f"page_{c}") < F.col(f"stop_{c}"), F.lit(False))
-
-    kept_in = F.coalesce(
-        *[
-            F.when(F.col(f"page_{c}") < F.col(f"stop_{c}"), F.lit(c))
-            for c in range(categories)
-        ]
-    )
-    kept_page = F.coalesce(
-        *[
-            F.when(F.col(f"page_{c}") < F.col(f"stop_{c}"), F.col(f"page_{c}"))
-            for c in range(categories)
-        ]
-    )
-    return (
-        urls.select("source", "source_url", kept_in.alias("category_ord"), kept_page.alias("page"))
-        .where(F.col("category_ord").isNotNull())
-    )
+        step = written(fresh.join(read, ["source", "page"]).select(*firsts.columns), "kept-pages")
+        kept = step if kept is None else kept.unionByName(step)
+    return firsts.limit(0) if kept is None else kept

@@ -34,7 +34,6 @@ def payload(scored: DataFrame) -> DataFrame:
     """Stored form of a scored posting."""
     return scored.withColumns(
         {
-            "description": F.left(F.col("description"), F.lit(rules.DESCRIPTION_LIMIT)),
             "employment_type": F.nullif(F.col("employment_type"), F.lit("")),
             "zone_rank": places.zone_rank(F.col("location"), F.col("title")),
             "reasons": join_parts(F.col("reasons")),

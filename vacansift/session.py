@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
@@ -16,6 +17,8 @@ def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
+        # Rule-heavy work on a table in one file uses all cores.
+        .config("spark.sql.files.minPartitionNum", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         # Plans here have thousands of small expressions; recording the Python
@@ -30,17 +33,28 @@ def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared scratch folder (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in local tests, is one created.
+    Where a local session names none, as in tests, one is created. On a cluster every machine has disks of its own, so there a missing
+    setting is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         folder = spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="vacansift-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """Write rows to the shared folder and read them back: work done once, and a short lineage."""
+    spark = rows.sparkSession
+    folder = new_folder(spark, name)
+    rows.write.parquet(folder)
+    return spark.read.schema(rows.schema).parquet(folder)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -10,16 +10,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Use all cores for rule-heavy work on a scan of few files.
-
-    Only for plain scans (a plan with shuffles would start running). A scan with at least one partition per core, the normal case on large
-    tables, is returned as it is.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
-
-
 def by_url(store: DataFrame, url: str) -> DataFrame:
     """The stored posting with a URL (an equality the scan can push down)."""
     return store.where(F.col("source_url") == url)
@@ -30,5 +20,5 @@ def exists(store: DataFrame, url: str) -> bool:
 
 
 def surrogate_id(url: Column) -> Column:
-    """Stable numeric id of a posting; the URL stays the key."""
+    """Numeric id of a posting, the same in every run. Tens of billions of URLs will share some ids: the URL stays the key."""
     return F.xxhash64(url)
