@@ -20,13 +20,13 @@ from vacansift.sources.tables import table
 AS_OF = dt.date(2001, 8, 1)
 
 TITLES = (
-    "Junior Web Developer", "IT Support Technician", "Senior Backend Engineer",
-    "Android Developer", "ICT Officer", "Shop Attendant", "Cleaner - Lavington",
-    "Delivery Truck Driver", "Sales Agent - Mtwapa", "Help Desk Assistant",
-    "Network Technician", "Receptionist", "Remote Customer Support Agent",
-    "Front-End Developer Intern", "Data Entry Clerk", "Regional Sales Manager",
-    "Waiter", "ICT Attachment (3 Posts)", "Lead Developer", "Security Guard",
-    "  Records   Clerk ", "Virtual Assistant", "Teacher at Hill School", "Cook",
+    "Web Developer, Junior", "Computer Support Assistant", "Principal Backend Engineer",
+    "Mobile App Developer", "ICT Assistant", "Storekeeper", "Gardener - Lavington",
+    "Tanker Truck Driver", "Field Agent - Mtwapa", "Service Desk Analyst",
+    "Network Installer", "Front Office Clerk", "Remote Chat Agent",
+    "Interface Developer Intern", "Typist and Data Entry", "Senior Area Manager",
+    "Kitchen Porter", "ICT Attachment (2 Places)", "Lead Programmer", "Night Guard",
+    "  Filing   Clerk ", "Virtual Office Helper", "Teacher at Lake School", "Baker",
 )
 LOCATIONS = (
     "Nairobi, Kenya", "Malindi", "Mombasa", "Remote / Worldwide", "Africa",
@@ -35,54 +35,54 @@ LOCATIONS = (
     "Berlin", "Diani", "Maasai Mara",
 )
 OPENINGS = (
-    "Looking for a junior web developer with HTML, CSS, JavaScript and React.js.",
-    "Hardware troubleshooting, networking and help desk support.",
-    "Seeking a senior engineer with 10+ years and node.js, postgresql skills.",
-    "Kotlin and Java skills; git and GitHub in daily use.",
-    "Meets sales targets and talks to customers.",
-    "Travel to remote areas of the county.",
-    "This is a fully remote position.",
-    "International team, Bonus only after probation.",
-    "Audit support and records   management.",
-    "Data entry on postgres and typescript tools.",
-    "You can work from anywhere in the world.",
-    "Clean the   office and the grounds.",
-    "Lead the store as duty manager.",
+    "Our web shop needs html, css and javascript every day, react.js now and then.",
+    "You keep printers, cabling and networking alive and answer the help desk line.",
+    "Ten services in node.js over postgresql wait for a senior hand with 10+ years.",
+    "Builds phone apps in java or kotlin, reviewed through git and github.",
+    "Reaches the monthly sales figures and keeps the customer book.",
+    "The post includes travel to remote areas of two counties.",
+    "This is a fully remote role with weekly calls.",
+    "Colleagues in nine countries; Bonus only after probation.",
+    "Files, audits and records   management for the branch.",
+    "Data entry into postgres through a typescript form.",
+    "We hire people who work from anywhere.",
+    "Sweep the   yard and polish the counters.",
+    "Takes over as shift lead of the depot.",
 )
 REQUIREMENTS = (
-    "KCSE certificate holder.",
-    "KCSE or Diploma in Front Office.",
-    "KCSE certificate or Diploma.",
-    "Bachelor's degree required.",
-    "Diploma in Sales and Marketing.",
-    "A diploma in marketing is an added advantage.",
-    "KCSE mean grade of B (plain) and above.",
-    "KCSE mean grade C (plain) or its equivalent.",
-    "Kenya Certificate of Secondary Education mean grade of C+ (plus).",
-    "Valid driving licence class BCE.",
-    "Must be registered with the Nursing Council.",
-    "Attach copies of your certificates.",
-    "Certificate in Computer Applications needed.",
-    "Entry-level position. No experience required.",
-    "form four with minimum grade d minus, typing",
-    "US residents only.",
-    "Must be based in the UK.",
+    "Holders of a KCSE certificate are welcome.",
+    "KCSE or a Diploma in Hospitality.",
+    "Bring a KCSE certificate or Diploma.",
+    "Applicants hold a Bachelor's degree.",
+    "We ask for a Diploma in Logistics.",
+    "A diploma in design is an added advantage.",
+    "From a KCSE mean grade of B (plain) upwards.",
+    "KCSE mean grade C (plain) or something like it.",
+    "Kenya Certificate of Secondary Education mean grade of C+ (plus) at least.",
+    "Bring your own driving licence, class BCE.",
+    "You are registered with the Pharmacy Board.",
+    "Send scanned copies of your certificates.",
+    "Certificate in Payroll Software needed.",
+    "An entry-level seat: no experience required.",
+    "form four leavers, minimum grade d minus, tidy handwriting",
+    "US residents only, please.",
+    "You must be based in the UK.",
 )
 ENDINGS = (
-    "Application deadline: 30th July 2001.",
-    "Closing date 31/08/2001.",
-    "Apply by September 25, 2001.",
-    "Deadline: 31 February 2001, or August 9, 2001.",
-    "Posted 28 August by the county.",
+    "Application deadline: 29th July 2001.",
+    "Closing date 30/08/2001.",
+    "Apply by September 24, 2001.",
+    "Deadline: 31 February 2001, or August 10, 2001.",
+    "Posted 27 August by the office.",
     "Full-time contract.",
-    "Internship of three months.",
+    "Internship over one term.",
     "Part time work.",
     "Canada only.",
     "European union only.",
-    "Graduate trainee programme.",
+    "Graduate trainee intake.",
     "Remote work possible.",
     "",
-    "Deadline not stated, started 3 May 2001 or so.",
+    "Deadline not given, opened 4 May 2001 or thereabouts.",
 )
 ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderdate")
 CATEGORIES_PER_BOARD = 3
@@ -149,14 +149,6 @@ def postings(spark: SparkSession, folder: str) -> DataFrame:
     return raw_postings(table(spark, folder, "orders").select(*ORDER_COLUMNS))
 
 
-def company_postings(spark: SparkSession, folder: str) -> DataFrame:
-    """Postings whose company is the customer's own name."""
-    customers = table(spark, folder, "customer").select(
-        F.col("c_custkey").alias("c"), F.col("c_name").alias("company")
-    )
-    return postings(spark, folder).drop("company").join(customers, "c")
-
-
 def text_postings(spark: SparkSession, folder: str) -> DataFrame:
     """One posting per document: the whole text between two phrases."""
     d = F.col("doc_id")
@@ -179,9 +171,18 @@ def text_postings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def store(spark: SparkSession, folder: str) -> DataFrame:
-    """A stored snapshot: every third order that owns its URL."""
+    """A snapshot that listings overlap with: every third order that owns its URL."""
+    return _stored(table(spark, folder, "orders").where(F.col("o_orderkey") % 3 == 0))
+
+
+def full_store(spark: SparkSession, folder: str) -> DataFrame:
+    """A snapshot of every order that owns its URL."""
+    return _stored(table(spark, folder, "orders"))
+
+
+def _stored(orders: DataFrame) -> DataFrame:
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    owners = table(spark, folder, "orders").where((k % 3 == 0) & (k % 10 != 9) & (k % 5 != 4))
+    owners = orders.where((k % 10 != 9) & (k % 5 != 4))
     at = F.timestamp_add("MINUTE", -(k % 50000), F.lit(AS_OF).cast("timestamp"))
     return owners.select(
         F.when(k % 29 == 0, F.lit("RemoteOK"))
@@ -222,7 +223,13 @@ def store(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def details(spark: SparkSession, folder: str) -> DataFrame:
-    """Detail pages (as HTML) of every second tenth order."""
+    """Detail pages (as HTML) of some orders only, for joins in which others have none."""
+    k = F.col("o_orderkey")
+    return detail_pages(table(spark, folder, "orders").where((k % 5 == 0) & (k % 4 != 0)))
+
+
+def detail_pages(orders: DataFrame) -> DataFrame:
+    """The detail page of each order."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     tags = pick(
         (
@@ -247,8 +254,7 @@ def details(spark: SparkSession, folder: str) -> DataFrame:
         pick(rules.DETAIL_ENDS, k),
         F.lit("</h2>\n<p>Send a diploma.</p></div><footer>Degree</footer></body></html>"),
     )
-    orders = table(spark, folder, "orders").select(*ORDER_COLUMNS)
-    return orders.where((k % 5 == 0) & (k % 4 != 0)).select(
+    return orders.select(*ORDER_COLUMNS).select(
         F.concat(F.lit("https://jobs.example/job/"), k.cast("string")).alias("source_url"),
         F.when(k % 35 == 0, F.lit("<html><body>nothing</body></html>")).otherwise(html).alias("html"),
     )
@@ -422,6 +428,7 @@ STORE_SQL = f"""store AS (
     {_AT} AS fetched_at, {_AT} AS updated_at, {_AT} AS created_at
   FROM orders
   WHERE o_orderkey % 3 = 0 AND o_orderkey % 10 <> 9 AND o_orderkey % 5 <> 4)"""
+FULL_STORE_SQL = STORE_SQL.replace("o_orderkey % 3 = 0 AND ", "")
 
 DELIVERIES_SQL = """deliveries AS (
   SELECT 'https://jobs.example/job/' || user_id * 3 AS source_url,

@@ -11,7 +11,7 @@ from vacansift.operators import outbox, reports
 from vacansift.sources.tables import table
 
 HEADING = "POSTING DIGEST"
-_WAITING = f"""{R.STORE_SQL}, waiting AS (
+_WAITING = f"""{R.FULL_STORE_SQL}, waiting AS (
   SELECT *, CASE WHEN category = 'FORM4' THEN '🎓 [Form 4] ' || title ELSE title END AS shown
   FROM store WHERE digested = false)"""
 
@@ -22,7 +22,7 @@ _WAITING = f"""{R.STORE_SQL}, waiting AS (
       {sql_stamp('fetched_at')} FROM waiting""",
 )
 def digest_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return reports.digest_rows(R.store(spark, folder)).select(
+    return reports.digest_rows(R.full_store(spark, folder)).select(
         "source_url", "title", "company", "location", "score", "tier", "category", stamp("fetched_at")
     )
 
@@ -35,7 +35,7 @@ _COUNTS = (
 
 @query("digest_counts", f"WITH {_WAITING} SELECT {_COUNTS} FROM waiting")
 def digest_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return reports.digest_counts(R.store(spark, folder))
+    return reports.digest_counts(R.full_store(spark, folder))
 
 
 _RULER = "=" * 50
@@ -57,28 +57,28 @@ _BLOCK = (
       FROM waiting WHERE tier IN ('strong', 'consider')""",
 )
 def digest_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return reports.digest_lines(R.store(spark, folder), HEADING).select(
+    return reports.digest_lines(R.full_store(spark, folder), HEADING).select(
         "part", "score", "source_url", "block"
     )
 
 
 @query(
     "status_report",
-    f"""WITH {R.STORE_SQL} SELECT count(*) AS total_jobs, count(*) FILTER (WHERE telegram_sent) AS alerts_sent,
+    f"""WITH {R.FULL_STORE_SQL} SELECT count(*) AS total_jobs, count(*) FILTER (WHERE telegram_sent) AS alerts_sent,
       count(*) FILTER (WHERE tier = 'strong') AS strong_jobs,
       count(*) FILTER (WHERE tier = 'strong' AND NOT telegram_sent) AS strong_unsent,
       count(*) FILTER (WHERE digested = false) AS digest_queue, round(avg(score), 4) AS average_score FROM store""",
 )
 def status_report(spark: SparkSession, folder: str) -> DataFrame:
-    return reports.status_report(R.store(spark, folder))
+    return reports.status_report(R.full_store(spark, folder))
 
 
 @query(
     "strong_by_state",
-    f"WITH {R.STORE_SQL} SELECT score, telegram_sent, count(*) AS jobs FROM store WHERE tier = 'strong' GROUP BY ALL",
+    f"WITH {R.FULL_STORE_SQL} SELECT score, telegram_sent, count(*) AS jobs FROM store WHERE tier = 'strong' GROUP BY ALL",
 )
 def strong_by_state(spark: SparkSession, folder: str) -> DataFrame:
-    return reports.strong_by_state(R.store(spark, folder))
+    return reports.strong_by_state(R.full_store(spark, folder))
 
 
 @query(
@@ -93,7 +93,10 @@ def send_rate(spark: SparkSession, folder: str) -> DataFrame:
     return rate.withColumn("success_rate", F.col("success_rate").cast("double"))
 
 
-_TABLES = ("orders", "customer", "events", "documents", "pages", "conversations")
+_TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
+    "benchmark", "labels", "conversations",
+)
 
 
 @query(
@@ -106,30 +109,30 @@ def table_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "recent_20",
-    f"""WITH {R.STORE_SQL} SELECT source_url, title, score, {sql_stamp('fetched_at')} FROM
+    f"""WITH {R.FULL_STORE_SQL} SELECT source_url, title, score, {sql_stamp('fetched_at')} FROM
       (SELECT * FROM store ORDER BY fetched_at DESC, source_url LIMIT 20)""",
 )
 def recent_20(spark: SparkSession, folder: str) -> DataFrame:
-    return reports.recent(R.store(spark, folder)).select(
+    return reports.recent(R.full_store(spark, folder)).select(
         "source_url", "title", "score", stamp("fetched_at")
     )
 
 
 @query(
     "nearest_first",
-    f"""WITH {R.STORE_SQL} SELECT source_url, zone_rank, score, CASE zone_rank WHEN 0 THEN '📍 Malindi & Kilifi'
+    f"""WITH {R.FULL_STORE_SQL} SELECT source_url, zone_rank, score, CASE zone_rank WHEN 0 THEN '📍 Malindi & Kilifi'
       WHEN 1 THEN '🌴 Coast' WHEN 2 THEN '🏙 Nairobi area' WHEN 3 THEN 'Eldoret' WHEN 4 THEN 'Narok & Mara'
       WHEN 9 THEN 'Elsewhere in Kenya' END AS zone_label FROM store""",
 )
 def nearest_first(spark: SparkSession, folder: str) -> DataFrame:
-    return reports.nearest_first(R.store(spark, folder)).select(
+    return reports.nearest_first(R.full_store(spark, folder)).select(
         "source_url", "zone_rank", "score", "zone_label"
     )
 
 
 @query(
     "company_digest",
-    f"""WITH {R.STORE_SQL} SELECT c.c_mktsegment AS segment, s.tier, count(*) AS jobs, round(avg(s.score), 4) AS average_score
+    f"""WITH {R.FULL_STORE_SQL} SELECT c.c_mktsegment AS segment, s.tier, count(*) AS jobs, round(avg(s.score), 4) AS average_score
     FROM store s JOIN customer c ON s.company = c.c_name WHERE s.digested = false GROUP BY ALL""",
 )
 def company_digest(spark: SparkSession, folder: str) -> DataFrame:
@@ -137,7 +140,7 @@ def company_digest(spark: SparkSession, folder: str) -> DataFrame:
     customers = table(spark, folder, "customer").select(
         F.col("c_name").alias("company"), F.col("c_mktsegment").alias("segment")
     )
-    waiting = reports.waiting_for_digest(R.store(spark, folder)).select("company", "tier", "score")
+    waiting = reports.waiting_for_digest(R.full_store(spark, folder)).select("company", "tier", "score")
     return waiting.join(customers, "company").groupBy("segment", "tier").agg(
         F.count(F.lit(1)).alias("jobs"), F.round(F.avg("score"), 4).alias("average_score")
     )

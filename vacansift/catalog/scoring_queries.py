@@ -12,6 +12,7 @@ from vacansift.functions.text import join_parts
 from vacansift.operators import collect, qualify, scoring
 from vacansift.operators.gate import keep
 from vacansift.sources import details as detail_pages
+from vacansift.sources.tables import table
 
 DAY = R.AS_OF
 _POINTS = (
@@ -153,15 +154,17 @@ DETAILS_SQL = f"""details AS (
     CASE WHEN o_orderkey % 35 = 0 THEN [] ELSE {_TAGS} END AS qualifications,
     CASE WHEN o_orderkey % 35 = 0 THEN '' ELSE (o_orderkey % 4) || ' year' END AS experience
   FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey % 4 <> 0)"""
+ALL_DETAILS_SQL = DETAILS_SQL.replace(" WHERE o_orderkey % 5 = 0 AND o_orderkey % 4 <> 0", "")
 
 
 @query(
     "detail_segments",
-    f"""WITH {DETAILS_SQL} SELECT source_url, body, array_to_string(qualifications, '; ') AS qualifications,
+    f"""WITH {ALL_DETAILS_SQL} SELECT source_url, body, array_to_string(qualifications, '; ') AS qualifications,
       experience FROM details""",
 )
 def detail_segments(spark: SparkSession, folder: str) -> DataFrame:
-    return detail_pages.parse(R.details(spark, folder)).select(
+    pages = R.detail_pages(table(spark, folder, "orders"))
+    return detail_pages.parse(pages).select(
         "source_url", "body", join_parts(F.col("qualifications")).alias("qualifications"), "experience"
     )
 

@@ -15,7 +15,7 @@ from vacansift.operators import store as stores
 from vacansift.plans import digest, maintain, scan
 from vacansift.session import new_folder
 from vacansift.sources import details as detail_pages
-from vacansift.sources.tables import surrogate_id, table
+from vacansift.sources.tables import by_url, surrogate_id, table
 
 DAY = R.AS_OF
 NOW = f"{R.SQL_DAY}::TIMESTAMP"
@@ -229,7 +229,7 @@ def scan_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "mark_flags",
-    f"""WITH {R.STORE_SQL}, {R.DELIVERIES_SQL},
+    f"""WITH {R.FULL_STORE_SQL}, {R.DELIVERIES_SQL},
     ids AS (SELECT DISTINCT source_url FROM deliveries WHERE outcome = 'sent')
     SELECT s.source_url, s.telegram_sent OR i.source_url IS NOT NULL AS telegram_sent,
       strftime(CASE WHEN i.source_url IS NOT NULL THEN {NOW} ELSE s.updated_at END, '%Y-%m-%d %H:%M:%S') AS updated_at
@@ -237,19 +237,19 @@ def scan_metrics(spark: SparkSession, folder: str) -> DataFrame:
 )
 def mark_flags(spark: SparkSession, folder: str) -> DataFrame:
     sent = R.deliveries(spark, folder).where(F.col("outcome") == "sent")
-    marked = stores.mark(R.store(spark, folder), sent, "telegram_sent", DAY)
+    marked = stores.mark(R.full_store(spark, folder), sent, "telegram_sent", DAY)
     return marked.select("source_url", "telegram_sent", stamp("updated_at"))
 
 
 @query(
     "mark_digested",
-    f"""WITH {R.STORE_SQL}
+    f"""WITH {R.FULL_STORE_SQL}
     SELECT source_url, CASE WHEN digested IS NULL THEN NULL ELSE true END AS digested,
       strftime(CASE WHEN NOT digested THEN {NOW} ELSE updated_at END, '%Y-%m-%d %H:%M:%S') AS updated_at
     FROM store""",
 )
 def mark_digested(spark: SparkSession, folder: str) -> DataFrame:
-    return digest.mark_reported(R.store(spark, folder), DAY).select(
+    return digest.mark_reported(R.full_store(spark, folder), DAY).select(
         "source_url", "digested", stamp("updated_at")
     )
 
@@ -263,7 +263,7 @@ def _toggled(flag: str, wanted: str) -> str:
 
 @query(
     "toggle_state",
-    f"""WITH {R.STORE_SQL}, {R.TOGGLES_SQL}, sv AS ({_toggled('saved', 'for_saved')}), ap AS ({_toggled('applied', 'NOT for_saved')})
+    f"""WITH {R.FULL_STORE_SQL}, {R.TOGGLES_SQL}, sv AS ({_toggled('saved', 'for_saved')}), ap AS ({_toggled('applied', 'NOT for_saved')})
     SELECT s.source_url, CASE WHEN sv.moment IS NULL THEN s.saved ELSE sv.value END AS saved,
       strftime(CASE WHEN sv.moment IS NULL THEN s.saved_at WHEN sv.value THEN sv.moment END, '%Y-%m-%d %H:%M:%S') AS saved_at,
       CASE WHEN ap.moment IS NULL THEN s.applied ELSE ap.value END AS applied,
@@ -272,7 +272,7 @@ def _toggled(flag: str, wanted: str) -> str:
 )
 def toggle_state(spark: SparkSession, folder: str) -> DataFrame:
     commands = R.toggles(spark, folder)
-    saved = stores.toggle(R.store(spark, folder), commands.where("for_saved"), "saved")
+    saved = stores.toggle(R.full_store(spark, folder), commands.where("for_saved"), "saved")
     both = stores.toggle(saved, commands.where("not for_saved"), "applied")
     return both.select("source_url", "saved", stamp("saved_at"), "applied", stamp("applied_at"))
 
@@ -305,12 +305,12 @@ def outbox_fold(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "zone_backfill",
-    f"""WITH {R.STORE_SQL}
+    f"""WITH {R.FULL_STORE_SQL}
     SELECT source_url, (CASE WHEN zone_rank = 9 THEN least(coalesce({S.zone('location')}, 9), coalesce({S.zone('title')}, 9))
       ELSE zone_rank END)::INT AS zone_rank FROM store""",
 )
 def zone_backfill(spark: SparkSession, folder: str) -> DataFrame:
-    return stores.backfill_zones(R.store(spark, folder), DAY).select("source_url", "zone_rank")
+    return stores.backfill_zones(R.full_store(spark, folder), DAY).select("source_url", "zone_rank")
 
 
 _KEPT = (
@@ -322,7 +322,7 @@ _KEPT = (
 
 @query(
     "purge_cascade",
-    f"""WITH {R.STORE_SQL}, {R.DELIVERIES_SQL}, kept AS (SELECT source_url FROM store WHERE {_KEPT})
+    f"""WITH {R.FULL_STORE_SQL}, {R.DELIVERIES_SQL}, kept AS (SELECT source_url FROM store WHERE {_KEPT})
     SELECT 'posting' AS kind, source_url, 1::BIGINT AS n FROM kept
     UNION ALL SELECT 'delivery', source_url, count(*) FROM deliveries
       WHERE source_url IN (SELECT source_url FROM kept) GROUP BY source_url""",
@@ -330,7 +330,7 @@ _KEPT = (
 def purge_cascade(spark: SparkSession, folder: str) -> DataFrame:
     """Maintenance of a snapshot: what stays of postings and their children."""
     kept, children = maintain.run(
-        R.store(spark, folder), {"delivery": R.deliveries(spark, folder)}, DAY
+        R.full_store(spark, folder), {"delivery": R.deliveries(spark, folder)}, DAY
     )
     postings = kept.select(F.lit("posting").alias("kind"), "source_url", F.lit(1).cast("long").alias("n"))
     deliveries = children["delivery"].groupBy("source_url").agg(F.count(F.lit(1)).alias("n"))
@@ -339,13 +339,13 @@ def purge_cascade(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "evolve_schema",
-    f"""WITH {R.STORE_SQL}
+    f"""WITH {R.FULL_STORE_SQL}
     SELECT source_url, score, NULL::VARCHAR AS eligibility, 'ICT' AS category, 9::INT AS zone_rank, false AS saved,
       NULL::VARCHAR AS saved_at, false AS applied, strftime(CASE WHEN score % 2 = 0 THEN updated_at ELSE {NOW} END,
       '%Y-%m-%d %H:%M:%S') AS updated_at FROM store""",
 )
 def evolve_schema(spark: SparkSession, folder: str) -> DataFrame:
-    old = R.store(spark, folder).drop(
+    old = R.full_store(spark, folder).drop(
         "eligibility", "category", "zone_rank", "saved", "saved_at", "applied", "applied_at"
     )
     gaps = old.withColumn("updated_at", F.when(F.col("score") % 2 == 0, F.col("updated_at")))
@@ -379,13 +379,27 @@ def seed_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "surrogate_ids",
-    f"WITH {R.STORE_SQL} SELECT count(*) AS postings, count(DISTINCT source_url) AS ids FROM store",
+    f"WITH {R.FULL_STORE_SQL} SELECT count(*) AS postings, count(DISTINCT source_url) AS ids FROM store",
 )
 def surrogate_ids(spark: SparkSession, folder: str) -> DataFrame:
-    """Ids derived from URLs do not collide."""
-    return R.store(spark, folder).agg(
+    """As many ids as postings, on these tables."""
+    return R.full_store(spark, folder).agg(
         F.count(F.lit(1)).alias("postings"),
         F.countDistinct(surrogate_id(F.col("source_url"))).alias("ids"),
     )
 
 
+
+
+@query(
+    "lookup_by_url",
+    f"""WITH {R.FULL_STORE_SQL} SELECT source_url, title, score FROM store
+    WHERE source_url = (SELECT max(source_url) FROM store)""",
+)
+def lookup_by_url(spark: SparkSession, folder: str) -> DataFrame:
+    """The posting with one URL, found in a written snapshot by an equality that reaches its scan."""
+    path = new_folder(spark, "snapshot")
+    rows = R.full_store(spark, folder)
+    stores.write_snapshot(rows, path)
+    url = rows.agg(F.max("source_url")).first()[0]
+    return by_url(stores.read_snapshot(spark, path), url).select("source_url", "title", "score")
