@@ -99,7 +99,7 @@ def _gram_list(all_words: Column, short: list[int], whole: bool) -> Column:
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """One row per input row: doc_id, n_words, n_hit, item_ids (sorted as strings).
+    """One row per input row: doc_id, key (hash of the text), n_words, n_hit, item_ids (sorted as strings).
 
     ``docs`` has doc_id and text, ``items`` item_id and text; other columns are ignored. A word is hit when a window of an item that
     covers it occurs in the document. Null and empty texts have no words; items without words match nothing. Rows are told apart by id
@@ -149,6 +149,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
         _left(_left(counts, covered, same), met, same)
         .select(
             "doc_id",
+            "key",
             "n_words",
             F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
             F.array_sort(F.transform(F.coalesce("ids", F.array().cast("array<bigint>")), lambda i: i.cast("string"))).alias("item_ids"),
