@@ -41,3 +41,14 @@ def test_incremental_scan(spark, tmp_path):
     # The strong posting was never marked as alerted, so each listing of it is due again.
     kinds = sorted((r.source_url, r.kind) for r in incremental.alerts(spark, root).collect())
     assert kinds == [("a", "new"), ("a", "retry")]
+    # Once its alert is delivered, further listings are quiet, and a compaction changes no row.
+    incremental.mark_delivered(root, spark.createDataFrame([("a",)], "source_url string"))
+    before = sorted(map(tuple, incremental.current(spark, root, base).collect()))
+    assert [r for r in before if r[1] == "a"][0][STORE.names.index("telegram_sent")] is True
+    incremental.compact(spark, root, base)
+    incremental.compact(spark, root, base)
+    assert sorted(map(tuple, incremental.current(spark, root, base).collect())) == before
+    land(listing("a", "Once more", 1), listing("d", "Junior Web Developer", 2))
+    later = sorted((r.source_url, r.kind) for r in incremental.alerts(spark, root).collect())
+    assert later == [("a", "new"), ("a", "retry"), ("d", "new")]
+    assert store() == {**expected, "d": ("Junior Web Developer", None)}

@@ -13,7 +13,8 @@ from vacansift.catalog.scoring_queries import DETAILS_SQL
 from vacansift.operators import collect, outbox, scoring
 from vacansift.operators import store as stores
 from vacansift.plans import digest, maintain, scan
-from vacansift.session import new_folder
+from vacansift.schemas import STORE
+from vacansift.session import new_folder, written
 from vacansift.sources import details as detail_pages
 from vacansift.sources.tables import by_url, surrogate_id, table
 
@@ -85,6 +86,23 @@ def upsert(spark: SparkSession, folder: str) -> DataFrame:
     return merged.select(*_UPSERT_COLUMNS.split(", "), stamp("updated_at"))
 
 
+@query(
+    "upsert_changes",
+    f"""WITH {R.POSTINGS_SQL}, {R.STORE_SQL}, {CATEGORISED_SQL},
+    batch AS (SELECT *, true AS ins, true AS fil FROM stored WHERE source_url <> ''), {merged_sql('batch')}
+    SELECT {_UPSERT_COLUMNS}, {sql_stamp('updated_at')} FROM merged WHERE is_new OR touched""",
+)
+def upsert_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """The change set of an upsert into a bucketed store."""
+    path = new_folder(spark, "bucketed")
+    name = "store_" + path.rsplit("-", 1)[1]
+    stores.write_bucketed(R.store(spark, folder), name, 8, path)
+    listed = collect.with_category(R.postings(spark, folder).where(collect.known_url()))
+    batch = stores.payload(scoring.score_postings(listed, DAY))
+    changed = stores.upsert_changes(spark.table(name), batch, DAY, ("seq",))
+    return changed.select(*_UPSERT_COLUMNS.split(", "), stamp("updated_at"))
+
+
 @query(
     "payload_projection",
     f"""WITH {R.TEXT_POSTINGS_SQL}, {CATEGORISED_SQL}
@@ -224,6 +242,23 @@ def scan_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return _scan(spark, folder, failed, new_folder(spark, "judged")).metrics
 
 
+@query(
+    "scan_after_delivery",
+    f"WITH {SCAN_SQL} SELECT source_url, 'retry' AS kind, score FROM alerted WHERE due AND {_FAILS}",
+)
+def scan_after_delivery(spark: SparkSession, folder: str) -> DataFrame:
+    """Alerts of a second scan of the same listings, after most alerts of the first went out: only the failed ones come again."""
+    first = _scan(spark, folder, work_folder=new_folder(spark, "judged"))
+    rows = written(first.merged, "merged")
+    number = F.regexp_extract("source_url", r"(\d+)$", 1).cast("long")
+    delivered = scan.alerts(rows).where(number % 7 != 0).select("source_url")
+    second = scan.run(
+        R.postings(spark, folder), rows.select(*STORE.names), detail_pages.parse(R.details(spark, folder)), DAY,
+        work_folder=new_folder(spark, "judged"), delivered=delivered,
+    )
+    return second.alerts.select("source_url", "kind", "score")
+
+
 # ------------------------------------------------------------------- flags --
 
 

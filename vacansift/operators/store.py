@@ -133,6 +133,21 @@ def upsert(
     return merged.select(*STORE.names, "is_new", "touched")
 
 
+def upsert_changes(
+    store: DataFrame, rows: DataFrame, as_of: dt.date | Column, order: Sequence[str]
+) -> DataFrame:
+    """Only the rows that ``upsert`` inserts or fills, as a change set beside the store.
+
+    Stored postings that are not listed are neither moved nor written: the store meets the listed URLs first, and a bucketed store
+    (``write_bucketed``) does so without a shuffle.
+    """
+    flagged = rows.withColumns({"inserts": F.lit(True), "fills": F.lit(True)})
+    batch = collapse(flagged, order)
+    listed = store.join(rows.select("source_url").distinct(), "source_url", "left_semi")
+    merged = merge(listed, batch, as_of)
+    return merged.where(F.col("is_new") | F.col("touched")).select(*STORE.names, "is_new", "touched")
+
+
 def mark(
     store: DataFrame, urls: DataFrame, flag: str, as_of: dt.date | Column
 ) -> DataFrame:

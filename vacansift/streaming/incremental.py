@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,11 +35,16 @@ def current(
     """The store after all batches, or after those before a given one.
 
     With ``urls`` only their rows: versions of other postings are left out
-    before the wide rows are grouped.
+    before the wide rows are grouped. Reading starts from the last compaction, if there is one.
     """
+    through = _compacted_through(spark, root)
+    if through is not None and (before is None or before > through):
+        base = spark.read.schema(STORE).parquet(f"{root}/base-{through}")
+    else:
+        through = -1
     versions = base.select(*STORE.names).withColumn("epoch", F.lit(-1).cast("long"))
     if before is None or before > 0:
-        changed = spark.read.schema(_CHANGED).parquet(f"{root}/changes")
+        changed = spark.read.schema(_CHANGED).parquet(f"{root}/changes").where(F.col("epoch") > through)
         if before is not None:
             changed = changed.where(F.col("epoch") < before)
         versions = versions.unionByName(changed)
@@ -48,7 +54,45 @@ def current(
     newest = versions.groupBy("source_url").agg(
         F.max_by(F.struct(*others), F.col("epoch")).alias("row")
     )
-    return newest.select("source_url", "row.*").select(*STORE.names)
+    rows = newest.select("source_url", "row.*").select(*STORE.names)
+    sent = _read_or_none(spark, "source_url string", f"{root}/delivered")
+    if sent is None:
+        return rows
+    sent = sent.distinct().withColumn("delivered", F.lit(True))
+    marked = F.when(F.col("delivered"), F.lit(True)).otherwise(F.col("telegram_sent"))
+    return rows.join(sent, "source_url", "left").withColumn("telegram_sent", marked).select(*STORE.names)
+
+
+def _read_or_none(spark: SparkSession, schema: str, path: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _compacted_through(spark: SparkSession, root: str) -> int | None:
+    done = _read_or_none(spark, "through long", f"{root}/compactions")
+    return None if done is None else done.agg(F.max("through")).first()[0]
+
+
+def mark_delivered(root: str, urls: DataFrame) -> None:
+    """Record postings whose alert went out: later batches find them as sent. Recording one again changes nothing."""
+    urls.select("source_url").where("source_url IS NOT NULL").write.mode("append").parquet(f"{root}/delivered")
+
+
+def compact(spark: SparkSession, root: str, base: DataFrame) -> None:
+    """Write the store after all finished batches as a new base, so that later batches read no older change folders.
+
+    Call it between runs. The entry in ``compactions`` comes last: a compaction that breaks off is not used, and may be repeated.
+    """
+    through = spark.read.schema(_CHANGED).parquet(f"{root}/changes").agg(F.max("epoch")).first()[0]
+    if through is None or through == _compacted_through(spark, root):
+        return
+    rows = current(spark, root, base, before=through + 1)
+    rows.write.mode("overwrite").parquet(f"{root}/base-{through}")
+    spark.range(1).select(F.lit(through).cast("long").alias("through")).write.mode("append").parquet(f"{root}/compactions")
 
 
 def alerts(spark: SparkSession, root: str) -> DataFrame:
