@@ -26,6 +26,7 @@ from vacansift.llm.arrow_text import pieces as text_pieces
 
 _BLANK = "▁"
 _NONE = -np.inf
+_PIECE_BYTES = 1 << 20  # of text at a time; arrays of ids take some forty times as much
 
 
 @dataclass(frozen=True)
@@ -297,7 +298,7 @@ class Encoder:
 
     _RUNS = re.compile(r" *[^ ]+| +$")
 
-    def __init__(self, vocabulary: Vocabulary, most_chunks: int = 250_000):
+    def __init__(self, vocabulary: Vocabulary, most_chunks: int = 120_000):
         self.vocabulary = vocabulary
         self.table = PrefixTable(vocabulary)
         self.most_chunks = most_chunks
@@ -379,22 +380,42 @@ def _encoder(vocabulary: Vocabulary) -> Encoder:
     return Encoder(vocabulary)
 
 
+def _id_lists(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """All input columns and ``ids``: the ids of the whole text, the end id last.
 
     Null and empty texts have the end id alone. An input column ``ids`` is replaced; an empty table gives no rows.
     """
-    columns = [c for c in docs.columns if c != "ids"]
+    return _encode(docs, vocabulary, False)
+
+
+def round_trip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """:func:`encode` and :func:`decode` in one pass: all input columns, ``ids`` and ``decoded``, decoded from these ids.
+
+    One Python worker per core holds the tables, instead of one for each of two steps.
+    """
+    return _encode(docs, vocabulary, True)
+
+
+def _encode(docs: DataFrame, vocabulary: Vocabulary, back: bool) -> DataFrame:
+    results = ["ids", "decoded"] if back else ["ids"]
+    columns = [c for c in docs.columns if c not in results]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary)
         for whole in batches:
-            for batch in text_pieces(whole):
+            for batch in text_pieces(whole, limit=_PIECE_BYTES):
                 ids, offsets = encoder.encode(batch.column("text").to_pylist())
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*columns, "ids"])
+                made = [_id_lists(ids, offsets)]
+                if back:
+                    made.append(pa.array(decoded(ids, offsets, vocabulary), pa.string()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*columns, *results])
 
-    return docs.select(*columns).mapInArrow(run, docs.select(*columns).schema.add("ids", ArrayType(IntegerType())))
+    schema = docs.select(*columns).schema.add("ids", ArrayType(IntegerType()))
+    return docs.select(*columns).mapInArrow(run, schema.add("decoded", "string") if back else schema)
 
 
 def decoded(ids: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary) -> list[str]:
@@ -421,7 +442,7 @@ def decode(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 lists = batch.column("ids").to_numpy(zero_copy_only=False)
                 lists = [np.zeros(0, np.int32) if x is None else x for x in lists]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)])
-                texts = decoded(np.concatenate(lists).astype(np.int64), offsets, vocabulary)
+                texts = decoded(np.concatenate(lists), offsets, vocabulary)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*columns, "decoded"])
 
     return rows.select(*columns).mapInArrow(run, rows.select(*columns).schema.add("decoded", "string"))

@@ -20,8 +20,8 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
 @query("op10_pieces")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = pieces.read_model(model_path())
-    encoded = pieces.encode(table(spark, folder, "documents").select("doc_id", "text"), vocabulary)
-    return pieces.decode(encoded.drop("text"), vocabulary).select(
+    rows = pieces.round_trip(table(spark, folder, "documents").select("doc_id", "text"), vocabulary)
+    return rows.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(pieces.joined_ids(), 256).alias("ids_sha256"),
