@@ -4,6 +4,7 @@ from vacansift.catalog import (  # noqa: F401
     collect_queries,
     extraction_queries,
     function_queries,
+    ingest_queries,
     report_queries,
     scoring_queries,
     store_queries,
