@@ -105,9 +105,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
 
     lower, upper, digit, hexa = (total(t[signs]) for t in (_LOWER, _UPPER, _DIGIT, _HEX))
     is_digit = _DIGIT[signs]
-    changes = total((is_digit[1:] != is_digit[:-1]) & (within[1:] > 0)) if len(signs) > 1 else np.zeros(len(at), int)
-    if len(changes) < len(at):
-        changes = np.append(changes, 0)
+    changes = total(np.concatenate([[False], is_digit[1:] != is_digit[:-1]]) & (within > 0))
     size = np.searchsorted([2, 4, 8, 12, 16, 20, 32], length, "right")
     kinds = (lower > 0) * 4 + (upper > 0) * 2 + (digit > 0)
     share = np.where(digit == 0, 0, np.where(digit * 2 < length, 1, 2))
