@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,7 +17,9 @@ from vacansift.functions.text import collapse_whitespace, once, strip_whitespace
 
 _INVISIBLE = r"(?is)<(script|style|template)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<![a-z][^>]*>"
 _TAG = r"(?s)</?[A-Za-z][^>]*>"
-_NAMES = json.dumps({**{n: chr(c) for n, c in name2codepoint.items()}, "apos": "'"})
+# All names that end in a semicolon; a map is searched in order, so the usual ones come first.
+_USUAL = ("amp", "nbsp", "lt", "gt", "quot", "apos")
+_NAMES = json.dumps({n: html5[f"{n};"] for n in (*_USUAL, *sorted(k[:-1] for k in html5 if k.endswith(";")))})
 _ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 
 
@@ -37,7 +39,6 @@ def replace_tags(html: Column, separator: str) -> Column:
 
 def unescape(text: Column) -> Column:
     """Decode character references in one pass, so ``&amp;lt;`` gives ``&lt;``."""
-    # Latin-1 and symbol names come from the standard library's table.
     names = F.from_json(F.lit(_NAMES), "map<string,string>")
 
     def decoded(piece: Column, name: Column) -> Column:
