@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacansift.llm.arrow_text import pieces, utf8
+from vacansift.llm.shared import thinned
 
 STRIDE = 8
 _WIDTH, _FILTERS, _HIDDEN = 4, 32, 16
@@ -153,9 +154,11 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = 1500, most_c
     of the files. Labels other than 0 and 1 and texts that are null are passed over; ids that are missing from ``docs`` too.
     """
     chosen = None
+    usable = labels.where(F.col("doc_id").isNotNull())
+    found = usable.agg(*[F.count_if(F.col("quality") == value).alias(f"n{value}") for value in (0, 1)]).first()
     for value in (0, 1):
         some = (
-            labels.where((F.col("quality") == value) & F.col("doc_id").isNotNull())
+            usable.where((F.col("quality") == value) & thinned(F.xxhash64("doc_id"), found[f"n{value}"], rows_per_class))
             .select("doc_id", F.col("quality").cast("int").alias("quality"))
             .distinct()
             .orderBy(F.xxhash64("doc_id"), "doc_id")
