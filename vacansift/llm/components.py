@@ -20,18 +20,23 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+def _unfinished(edges: DataFrame) -> bool:
+    """Whether some node has two parents, or a parent and a child."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    both = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return both.where("up > 1 OR (up = 1 AND down = 1)").count() > 0
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node``, ``label``: the smallest node reachable, for every node of ``links`` (columns a, b; longs) but the labels themselves.
 
-    Every round is written, so lineage stays short; the number of rounds grows with the logarithm of the longest path. Nothing but two
-    numbers per round comes to the driver.
+    Every round is written, so lineage stays short; the number of rounds grows with the logarithm of the longest path. Nothing but a
+    count per round comes to the driver.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = saved(edges, "edges")
-    state = None
-    while True:
+    while _unfinished(edges):
         edges = saved(_stars(_stars(edges, True), False), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        state = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))

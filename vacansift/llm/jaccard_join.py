@@ -31,12 +31,15 @@ from vacansift.llm.shared import saved
 SHINGLE = 5
 #: Similarity as a ratio of whole numbers: links need inter * PARTS >= union * SHARE.
 SHARE, PARTS = 80, 100
-MOST_MATCHES = 6
+MOST_MATCHES = 24
 #: Counters of the sketch, 2 ** SKETCH_BITS, in blocks. The sketch has the same size for any input.
 SKETCH_BITS, _BLOCK = 21, 1 << 16
 #: Bits of the filter that says whose sets to write; a full filter only means writing more sets.
 FILTER_BITS = 24
-_STAR_ROUNDS = 4
+#: Rounds of stars before all remaining pairs are made. It changes the work, not the result.
+STAR_ROUNDS = 2
+#: Sets per block when the pairs of a family are looked through.
+BLOCK = 256
 
 
 def shingle_sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -206,12 +209,12 @@ def _fits(n_a: Column, n_b: Column) -> Column:
     return (n_a * PARTS >= n_b * SHARE) & (n_b * PARTS >= n_a * SHARE)
 
 
-def _labelled(postings: DataFrame, links: DataFrame | None) -> DataFrame:
-    """Postings with ``component``, only of tokens that still occur in more than one."""
-    if links is None:
+def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Postings with ``component``, only of tokens that still occur in more than one. ``labels``: node, label."""
+    if labels is None:
         labelled = postings.withColumn("component", F.col("node"))
     else:
-        labelled = postings.join(components(links), "node", "left").withColumn("component", F.coalesce("label", "node")).drop("label")
+        labelled = postings.join(labels, "node", "left").withColumn("component", F.coalesce("label", "node")).drop("label")
     mixed = (
         labelled.groupBy("token")
         .agg(F.min("component").alias("low"), F.max("component").alias("high"))
@@ -221,30 +224,89 @@ def _labelled(postings: DataFrame, links: DataFrame | None) -> DataFrame:
     return saved(labelled.join(mixed, "token"), "labelled")
 
 
+def _first_labels(links: DataFrame) -> DataFrame:
+    """Each node with its smallest linked node below it. These are parts of components, which is all a round of stars needs."""
+    return (
+        links.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("label"))
+        .groupBy("node")
+        .agg(F.min("label").alias("label"))
+    )
+
+
 def _star_pairs(labelled: DataFrame, turn: int) -> DataFrame:
-    order = F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "n", "matches", "component")
+    """For each node that a token's list shows beside the list's head: the head that it shares most lists with.
+
+    In the first round the head is the node whose prefix is shared most, later one drawn by a hash. At most one pair per node.
+    """
+    draw = F.xxhash64("node", F.lit(turn)) if turn else -F.col("lead")
+    order = F.struct(draw.alias("draw"), "node", "n", "component")
     ends = labelled.groupBy("token", F.col("component").alias("of")).agg(F.min(order).alias("end"))
     heads = ends.groupBy("token").agg(F.min("end").alias("head"))
-    return (
+    met = (
         ends.join(heads, "token")
         .where((F.col("end.component") != F.col("head.component")) & _fits(F.col("end.n"), F.col("head.n")))
-        .groupBy(F.least("head.node", "end.node").alias("a"), F.greatest("head.node", "end.node").alias("b"))
-        .agg(F.count("*").alias("shared"), F.min(F.least("head.matches", "end.matches")).alias("matches"))
-        .where("shared >= least(matches, 2)")
-        .select("a", "b")
+        .groupBy(F.col("end.node").alias("a"), F.col("head.node").alias("b"))
+        .agg(F.count("*").alias("shared"))
     )
+    return met.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
+
+
+def _block_links(table: pa.Table) -> pa.Table:
+    """Links between different components among the sets of one or two blocks, one for each pair of components.
+
+    All intersections at once: a matrix of sets and tokens, in slices of tokens, times itself.
+    """
+    sets = [np.frombuffer(t.as_buffer(), np.uint64) for t in table.column("tokens")]
+    sizes = np.array([len(s) for s in sets])
+    component = table.column("component").to_numpy()
+    row = np.repeat(np.arange(len(sets)), sizes)
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, int(token.max()) + 1, 8192):
+        inside = (token >= start) & (token < start + 8192)
+        part = np.zeros((len(sets), 8192), np.float32)
+        part[row[inside], token[inside] - start] = 1
+        shared += part @ part.T
+    union = sizes[:, None] + sizes[None] - shared
+    x, y = np.nonzero((shared * PARTS >= union * SHARE) & (component[:, None] < component[None]))
+    _, first = np.unique(np.stack([component[x], component[y]]), axis=1, return_index=True)
+    node = table.column("node").to_numpy()
+    return pa.table({"a": node[x[first]], "b": node[y[first]]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def _family_links(labelled: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links inside families (nodes with one head) that are still in several components.
+
+    Pairs are never rows: a family is cut into blocks of about ``BLOCK`` sets, and a task gets two blocks.
+    """
+    nodes = labelled.select("node", "component", "family").distinct()
+    split = (
+        nodes.groupBy("family")
+        .agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+        .where("low <> high")
+        .select("family", F.ceil(F.col("size") / BLOCK).alias("blocks"))
+    )
+    placed = nodes.join(split, "family").withColumn("own", F.expr("pmod(xxhash64(node, 7), blocks)"))
+    unique = sets.groupBy("node").agg(F.first("tokens").alias("tokens"))
+    rows = placed.join(unique, "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pairs = rows.select(
+        "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component", "tokens"
+    )
+    return saved(pairs.groupBy("family", "i", "j").applyInArrow(_block_links, "a long, b long"), "links")
 
 
 def _rest_pairs(labelled: DataFrame) -> DataFrame:
-    """Every pair of documents in different components that shares enough prefix tokens."""
-    left = labelled.select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "matches", "level", "component")])
-    right = labelled.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "matches", "level", "component")])
+    """Every pair of nodes in different components and families that shares enough prefix tokens."""
+    names = ("node", "n", "matches", "level", "component", "family")
+    left = labelled.select("token", *[F.col(c).alias(f"{c}_a") for c in names])
+    right = labelled.select("token", *[F.col(c).alias(f"{c}_b") for c in names])
     matches = F.least("matches_a", "matches_b")
     return (
         left.join(right, "token")
         .where(
             (F.col("node_a") < F.col("node_b"))
             & (F.col("component_a") != F.col("component_b"))
+            & (F.col("family_a") != F.col("family_b"))
             & _fits(F.col("n_a"), F.col("n_b"))
             & (F.greatest("level_a", "level_b") <= matches)
         )
@@ -271,7 +333,12 @@ def _shared_only(postings: DataFrame) -> DataFrame:
         (F.col("matches") >= k) & (F.count(F.when(F.col("least") <= k, 1)).over(Window.partitionBy("node")) >= k)
         for k in range(1, MOST_MATCHES + 1)
     ]
-    return saved(shared.withColumn("enough", reduce(or_, enough)).where("enough").drop("enough", "least"), "postings")
+    # How much of a node's prefix other nodes share: in a group of near copies the least changed text leads.
+    prefix_size = F.col("n") - F.ceil(F.col("n") * SHARE / PARTS) + F.col("matches")
+    lead = F.count("*").over(Window.partitionBy("node")) / prefix_size
+    return saved(
+        shared.withColumn("enough", reduce(or_, enough)).withColumn("lead", lead).where("enough").drop("enough", "least"), "postings"
+    )
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -290,18 +357,28 @@ def join(docs: DataFrame) -> DataFrame:
         )
     )
     sets = _sets(rows, postings.select("node").distinct())
-    links, labelled = None, _labelled(postings, None)
-    for turn in range(_STAR_ROUNDS):
-        found = _verified(_star_pairs(labelled, turn), sets)
-        if found.isEmpty():
-            break
-        links = found if links is None else links.unionByName(found)
-        labelled = _labelled(postings, links)
-    rest = _verified(_rest_pairs(labelled), sets)
-    links = rest if links is None else links.unionByName(rest)
+    pairs = saved(_star_pairs(_labelled(postings, None), 0), "star-pairs")
+    links = _verified(pairs, sets)
+    families = pairs.select("a", F.col("b").alias("family"))
+    heads = pairs.select(F.col("b").alias("a")).distinct().withColumn("family", F.col("a"))
+    families = families.unionByName(heads).groupBy("a").agg(F.max(F.struct(F.col("family") == F.col("a"), "family")).alias("f"))
+    postings = saved(
+        postings.join(families, F.col("node") == F.col("a"), "left")
+        .withColumn("family", F.coalesce("f.family", "node"))
+        .drop("a", "f"),
+        "postings",
+    )
+    for turn in range(1, STAR_ROUNDS):
+        links = links.unionByName(_verified(_star_pairs(_labelled(postings, _first_labels(links)), turn), sets))
+    links = links.unionByName(_family_links(_labelled(postings, components(links)), sets))
+    labels = components(links)
+    rest = _verified(_rest_pairs(_labelled(postings, labels)), sets)
+    # What was joined up enters as one link from each node to its label.
+    stars = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+    labels = components(stars.unionByName(rest))
     node = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
     classes = sizes.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first")).withColumn("node", node)
-    labelled_classes = classes.join(components(links), "node", "left").select(
+    labelled_classes = classes.join(labels, "node", "left").select(
         "digest", "first", F.coalesce("label", "node").alias("label")
     )
     least = labelled_classes.groupBy(F.col("label").alias("_label")).agg(F.min("first").alias("reached"))
