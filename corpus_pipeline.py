@@ -26,7 +26,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Texts without later copies of runs of lines. A document that consists of nothing else goes; ``n_chars`` follows the text."""
+    """Texts without later copies of runs of two lines or of a line of 50 words. A document that consists of nothing else goes; ``n_chars`` follows the text."""
     cut = line_dedup.dedup(docs).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
     n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
