@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacansift.llm import decontaminate, jaccard_join, line_dedup, pieces, quality
@@ -17,6 +17,7 @@ from vacansift.llm.queries_exact import is_contaminated
 from vacansift.llm.queries_models import remainder
 from vacansift.llm.queries_pieces import model_path
 from vacansift.llm.shared import saved, table, text_or_empty
+from vacansift.operators import collect
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -33,10 +34,23 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, folder: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The document with the smallest id of each component of linked documents. Documents without an id stay."""
-    first = jaccard_join.join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi")
-    return named.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """One row of each component of linked documents: that with the smallest id (null last), then the smallest hash of the text.
+
+    Rows that repeat an id and a text, null ids and blank texts included, are one document, of which the first row stays. A text without
+    words links with nothing. Rows of one id with different texts are different documents.
+    """
+    found = jaccard_join.members(docs).select(*_named(F.col("key")), "component")
+    place = ["_missing", "_id", "_key"]
+    linked = found.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(*place)).alias("first"))
+    chosen = linked.select("first.*").unionByName(found.where("component IS NULL").select(*place)).distinct()
+    rows = docs.select("*", *_named(F.xxhash64(text_or_empty())), F.monotonically_increasing_id().alias("_row"))
+    return collect.first_seen(rows, place, ["_row"]).join(chosen, place, "left_semi").select(*docs.columns)
+
+
+def _named(key: Column) -> list[Column]:
+    """Columns that tell documents apart, without nulls: _missing, _id, _key."""
+    doc_id = F.col("doc_id").cast("long")
+    return [doc_id.isNull().alias("_missing"), F.coalesce(doc_id, F.lit(0)).alias("_id"), key.alias("_key")]
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from vacansift.llm import word_hashes
 from vacansift.llm.arrow_text import pieces, utf8
 from vacansift.llm.components import components
-from vacansift.llm.shared import saved
+from vacansift.llm.shared import saved, text_or_empty
 
 SHINGLE = 5
 #: Similarity as a ratio of whole numbers: links need inter * PARTS >= union * SHARE.
@@ -83,8 +83,8 @@ def _needed(n: int) -> int:
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document, and at the end rows with the task's sketch."""
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-    names = ["doc_id", "n", "digest", "block", "counts"]
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+    names = ["doc_id", "key", "n", "digest", "block", "counts"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
     seen = False
     for whole in batches:
         for batch in pieces(whole):
@@ -94,13 +94,13 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 digests.append(_class(tokens))
                 np.add.at(counts, _slots(tokens), 1)
             seen = True
-            empty = [pa.nulls(batch.num_rows, t) for t in types[3:]]
-            columns = [batch.column("doc_id"), pa.array(sizes, types[1]), pa.array(digests, types[2]), *empty]
+            empty = [pa.nulls(batch.num_rows, t) for t in types[4:]]
+            columns = [batch.column("doc_id"), batch.column("key"), pa.array(sizes, types[2]), pa.array(digests, types[3]), *empty]
             yield pa.RecordBatch.from_arrays(columns, names=names)
     if seen:
         small = np.minimum(counts, 65535).astype(np.uint16)
         for block in range(len(small) // _BLOCK):
-            row = [[None], [None], [None], [block], [small[block * _BLOCK : (block + 1) * _BLOCK].tobytes()]]
+            row = [[None], [None], [None], [None], [block], [small[block * _BLOCK : (block + 1) * _BLOCK].tobytes()]]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], names=names)
 
 
@@ -344,13 +344,21 @@ def _shared_only(postings: DataFrame) -> DataFrame:
 def join(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included).
 
+    See ``members``.
+    """
+    return members(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def members(docs: DataFrame) -> DataFrame:
+    """What ``join`` returns, with key (hash of the text) and component (a number of the component, null without shingles).
+
     Words are runs of characters other than white space, A-Z lower-cased. A text of one to four words has one shingle, the whole sequence;
     null, empty and blank texts have none and link with nothing. Rows with equal sets link whatever their ids; a null id takes part in that
     and is passed over when the smallest is looked for. Other columns are ignored; an empty table gives no rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    profiles = saved(rows.mapInArrow(_profile, "doc_id long, n long, digest binary, block int, counts binary"), "profiles")
-    sizes = profiles.where("block IS NULL").select("doc_id", "n", "digest")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(text_or_empty()).alias("key"))
+    profiles = saved(rows.mapInArrow(_profile, "doc_id long, key long, n long, digest binary, block int, counts binary"), "profiles")
+    sizes = profiles.where("block IS NULL").select("doc_id", "key", "n", "digest")
     postings = _shared_only(
         rows.select("text").mapInArrow(
             _postings(_sketch(profiles)), "token long, node long, n int, matches tinyint, level tinyint"
@@ -382,7 +390,9 @@ def join(docs: DataFrame) -> DataFrame:
         "digest", "first", F.coalesce("label", "node").alias("label")
     )
     least = labelled_classes.groupBy(F.col("label").alias("_label")).agg(F.min("first").alias("reached"))
-    reached = labelled_classes.join(least, F.col("label") == F.col("_label")).select(F.col("digest").alias("_digest"), "reached")
+    reached = labelled_classes.join(least, F.col("label") == F.col("_label")).select(
+        F.col("digest").alias("_digest"), F.col("label").alias("component"), "reached"
+    )
     return sizes.join(reached, F.col("digest") == F.col("_digest"), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("reached", "doc_id").alias("component_id")
+        "doc_id", "key", F.col("n").alias("n_shingles"), "component", F.coalesce("reached", "doc_id").alias("component_id")
     )
