@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacansift.llm.arrow_text import pieces, utf8
-from vacansift.llm.shared import thinned
+from vacansift.llm.shared import place, thinned
 
 STRIDE = 8
 _WIDTH, _FILTERS, _HIDDEN = 4, 32, 16
@@ -151,17 +151,17 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = 1500, most_c
     """Train on at most ``rows_per_class`` labelled rows of each class with at most ``most_chars`` characters.
 
     The caller chooses which labels may be learned from. Rows are drawn by a hash of their id, so the sample does not change with the order
-    of the files. Labels other than 0 and 1 and texts that are null are passed over; ids that are missing from ``docs`` too.
+    of the files. Labels other than 0 and 1 and texts that are null are passed over; ids that are missing from ``docs`` too. A label
+    that repeats counts once.
     """
     chosen = None
-    usable = labels.where(F.col("doc_id").isNotNull())
+    usable = labels.where(F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
+    draw = F.xxhash64("doc_id")
     found = usable.agg(*[F.count_if(F.col("quality") == value).alias(f"n{value}") for value in (0, 1)]).first()
     for value in (0, 1):
         some = (
-            usable.where((F.col("quality") == value) & thinned(F.xxhash64("doc_id"), found[f"n{value}"], rows_per_class))
-            .select("doc_id", F.col("quality").cast("int").alias("quality"))
-            .distinct()
-            .orderBy(F.xxhash64("doc_id"), "doc_id")
+            usable.where((F.col("quality") == value) & thinned(draw, found[f"n{value}"], rows_per_class))
+            .orderBy(place(draw), "doc_id")
             .limit(rows_per_class)
         )
         chosen = some if chosen is None else chosen.unionByName(some)

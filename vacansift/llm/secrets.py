@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacansift.llm.arrow_text import pieces, utf8
-from vacansift.llm.shared import thinned
+from vacansift.llm.shared import place, thinned
 
 # Fixed values.
 ASSIGN = re.compile(
@@ -269,16 +269,19 @@ def fit(texts: list[str], reach: int = 12, plain_per_text: int = 2) -> Field:
 
 def train(docs: DataFrame, rows: int = 800, most_chars: int = 20_000) -> Field:
     """Train on at most ``rows`` texts that hold a match of a fixed pattern and as many others, of at most ``most_chars``
-    characters each, drawn by a hash of id and text. Without a match in the table nothing is added to the fixed patterns."""
+    characters each, drawn by a hash of id and text; rows that repeat both count once. Without a match in the table nothing is added to
+    the fixed patterns."""
     likely = F.col("text").rlike(r"(?i)(?:password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{12}|[0-9a-f]{32}")
     texts = docs.select("text", F.xxhash64("doc_id", "text").alias("draw"), likely.alias("likely")).where(
         F.length("text").between(1, most_chars)
     )
-    found = texts.agg(F.count_if("likely").alias("with"), F.count_if(~F.col("likely")).alias("without")).first()
+    draws = texts.select("draw", "likely").distinct()
+    found = draws.agg(F.count_if("likely").alias("with"), F.count_if(~F.col("likely")).alias("without")).first()
     wanted = F.when(F.col("likely"), thinned(F.col("draw"), found["with"], rows)).otherwise(
         thinned(F.col("draw"), found["without"], rows)
     )
-    drawn = sorted(texts.where(wanted).collect(), key=lambda r: (r["draw"], r["text"]))
+    chosen = texts.where(wanted).distinct().select("text", "likely", place(F.col("draw")).alias("place"))
+    drawn = sorted(chosen.collect(), key=lambda r: (r["place"], r["text"]))
     return fit([r["text"] for kind in (True, False) for r in [r for r in drawn if r["likely"] is kind][:rows]])
 
 

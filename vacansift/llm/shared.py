@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vacansift.session import new_folder
 from vacansift.sources.tables import table
 
-__all__ = ["ascii_lower", "saved", "table", "text_or_empty"]
+__all__ = ["ascii_lower", "place", "saved", "table", "text_or_empty", "thinned"]
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -25,12 +25,18 @@ def saved(rows: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(folder)
 
 
+def place(draw: Column) -> Column:
+    """Where a row stands in the order that samples are drawn in: by the low bits of its draw (a 64-bit hash), then by the whole draw."""
+    return F.struct(F.pmod(draw, F.lit(1 << 30)).alias("low"), draw.alias("draw"))
+
+
 def thinned(draw: Column, found: int, most: int) -> Column:
-    """Whether a row may be among the ``most`` with the smallest draws (64-bit hashes) of ``found``.
+    """Whether a row may be among the ``most`` with the first places of ``found`` different draws.
 
-    Passes about twice as many rows, so that what tasks send to the driver for a sample doesn't grow with their number.
+    Passes about twice as many draws, so that what tasks send to the driver for a sample doesn't grow with their number, and enough more that
+    a small sample isn't left short by chance. Callers order by ``place``.
     """
-    share = 1.0 if found <= 4 * most else 2.0 * most / found
+    share = min(1.0, (2.0 * most + 50) / max(found, 1))
     return F.pmod(draw, F.lit(1 << 30)) <= F.lit(int(share * (1 << 30)))
 
 
