@@ -86,6 +86,7 @@ def paged(crawl: DataFrame) -> DataFrame:
 
     Every category of a board is read page by page, from page 1, until a page has no URL the board has not shown yet; pages after the stop
     are never read, so their URLs do not count as seen for later categories. Boards, categories and pages are those of the data.
+    Listings without a category number are a category of their own, the last one.
 
     The crawl is reduced once to the first page of each (source, URL, category) and written. Categories then follow one another, since
     each needs the URLs kept before it: every step reads its own category's rows and the narrow rows kept so far, so the work of
@@ -93,10 +94,11 @@ def paged(crawl: DataFrame) -> DataFrame:
     """
     key = ["source", "source_url"]
     firsts = written(crawl.groupBy(*key, "category_ord").agg(F.min("page").alias("page")), "first-pages")
-    categories = sorted(r[0] for r in firsts.select("category_ord").where("category_ord IS NOT NULL").distinct().collect())
+    found = {r[0] for r in firsts.select("category_ord").distinct().collect()}
+    categories = sorted(found, key=lambda c: (c is None, c))
     kept: DataFrame | None = None
     for category in categories:
-        fresh = firsts.where(F.col("category_ord") == category)
+        fresh = firsts.where(F.col("category_ord").isNull() if category is None else F.col("category_ord") == category)
         if kept is not None:
             fresh = fresh.join(kept.select(*key), key, "left_anti")
         # A page that is its own number in the list of pages with fresh URLs comes before the stop.
