@@ -1,6 +1,8 @@
 """All registered queries of this subpackage."""
 
-from vacansift.llm import queries_chat, queries_exact, queries_models, queries_pairs, queries_pieces  # noqa: F401
+from vacansift.llm import (  # noqa: F401
+    queries_chat, queries_exact, queries_models, queries_pairs, queries_pieces, queries_tokens,
+)
 from vacansift.llm.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
