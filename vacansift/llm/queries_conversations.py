@@ -1,11 +1,11 @@
-"""Registered queries on conversations: structure repair."""
+"""Registered queries on conversations: prefix trie and structure repair."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vacansift.llm import structure_repair
+from vacansift.llm import prefix_trie, structure_repair
 from vacansift.llm.registry import query
 from vacansift.llm.shared import table
 
@@ -131,3 +131,75 @@ def damaged(turns: DataFrame) -> DataFrame:
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations")
     return structure_repair.repair(damaged(turns), turns.select("conv_id"))
+
+
+OP11_SQL = rf"""
+WITH t AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+    FROM conversations WHERE conv_id IS NOT NULL
+),
+c AS (
+    SELECT conv_id, conv_id - conv_id % 20 AS base, {_crc32_sql("CAST(conv_id AS VARCHAR)")} % 4 AS h
+    FROM (SELECT DISTINCT conv_id FROM t)
+),
+rebuilt AS (
+    SELECT c.conv_id, 0 AS own, k, role, text FROM c JOIN t ON t.conv_id = c.base AND k <= h
+    UNION ALL SELECT c.conv_id, 1, k, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND k > h
+),
+paths AS (
+    SELECT conv_id, count(*) OVER along AS depth, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+        string_agg(sha256(length(role) || ':' || role || text), '') OVER along AS path
+    FROM rebuilt WINDOW along AS (PARTITION BY conv_id ORDER BY own, k)
+    UNION ALL SELECT conv_id, 0, 0, '' FROM c
+),
+ends AS (
+    SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids
+    FROM (SELECT conv_id, arg_max(path, depth) AS path FROM paths GROUP BY conv_id) GROUP BY path
+),
+nodes AS (
+    SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+        CASE WHEN depth > 0 THEN left(path, 64 * (depth - 1)) END AS parent
+    FROM paths GROUP BY path, depth
+),
+counted AS (
+    SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes
+    LEFT JOIN (SELECT parent, count(*) AS n FROM nodes GROUP BY parent) AS below ON below.parent = nodes.path
+),
+subtrees AS (
+    SELECT left(path, 64 * top) AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens
+    FROM (SELECT *, unnest(range(depth + 1)) AS top FROM counted) GROUP BY 1
+)
+SELECT counted.conv_id, counted.depth, above.conv_id AS parent_conv_id, counted.n_convs, counted.n_children, n_leaves,
+    CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM counted JOIN subtrees USING (path) LEFT JOIN ends USING (path) LEFT JOIN nodes AS above ON above.path = counted.parent
+"""
+
+#: First turns of a conversation that others may start with, and conversations that share theirs.
+HEAD, FAMILY = 3, 20
+
+
+def _with_shared_heads(sequences: DataFrame) -> DataFrame:
+    """Conversations that start with the first turns of the first of twenty numbers, as many as the CRC-32 of their number modulo 4."""
+    base = F.col("conv_id") - F.col("conv_id") % FAMILY
+    family = Window.partitionBy("base")
+
+    def head(column: str) -> Column:
+        first = F.first(F.when(F.col("conv_id") == F.col("base"), F.slice(column, 1, HEAD)), ignorenulls=True).over(family)
+        return F.coalesce(first, F.slice(column, 1, 0))
+
+    own = F.crc32(F.col("conv_id").cast("string").cast("binary")) % (HEAD + 1)
+    rows = sequences.withColumn("base", base).select(
+        "*", own.cast("int").alias("h"), head("key").alias("head_key"), head("words").alias("head_words")
+    )
+
+    def rebuilt(column: str) -> Column:
+        rest = F.slice(column, F.col("h") + 1, F.size(column))
+        return F.concat(F.slice(f"head_{column}", F.lit(1), F.col("h")), rest).alias(column)
+
+    return rows.select("conv_id", rebuilt("key"), rebuilt("words"))
+
+
+@query("op11_prefix_trie", OP11_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie(_with_shared_heads(prefix_trie.turn_arrays(table(spark, folder, "conversations"))))
