@@ -49,7 +49,7 @@ def made_texts():
     return texts
 
 
-@pytest.mark.parametrize(("chunk", "overlap"), [(64, 16), (1024, 32)])
+@pytest.mark.parametrize(("chunk", "overlap"), [(64, 16), (1024, 32), (1 << 16, 1024)])
 def test_spliced_counts_equal_the_library(spark, library, definition, chunk, overlap):
     texts = made_texts()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)

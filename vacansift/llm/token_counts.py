@@ -1,6 +1,7 @@
 """Token counts of documents of any length, by overlap resynchronisation.
 
-Short texts are counted in the task that reads them. A text of more than ``chunk_chars`` is cut into chunks that reach ``overlap_chars`` into the
+Short texts are counted in the task that reads them, spliced at every blank, a stable border that needs no overlap, so that a word is encoded once
+however often it occurs. A text of more than ``chunk_chars`` is cut into chunks that reach ``overlap_chars`` into the
 next one. The chunks are dealt out over the cluster, encoded with offsets by the tokenizer library, and spliced where both encodings of an overlap
 have a token in common. Where an overlap has none, it is widened to the whole next chunk and encoded again, until every border fits.
 
@@ -21,18 +22,22 @@ import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacansift.llm.arrow_text import pieces as text_pieces
 from vacansift.llm.shared import saved, text_or_empty
 
-CHUNK_CHARS = 16_384
-OVERLAP_CHARS = 256
+CHUNK_CHARS = 65_536
+OVERLAP_CHARS = 1024
 #: Characters at the start of a chunk that an English ending cut in two may change.
 MARGIN = 3
 _BATCH_BYTES = 1 << 20
+#: Words with known counts that a worker keeps; beyond that it forgets them all.
+_KEPT_WORDS = 400_000
 
 #: The word pattern that the proof above is about.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -80,6 +85,33 @@ def _tokenizer(definition: str):
     return Tokenizer.from_str(definition)
 
 
+@cache
+def _known_words(definition: str) -> dict[str, int]:
+    return {}
+
+
+def _word_counts(words: list[str], definition: str) -> np.ndarray:
+    """Tokens of each word; words not met before are encoded together, with a blank between."""
+    known = _known_words(definition)
+    if len(known) > _KEPT_WORDS:
+        known.clear()
+    fresh = [w for w in words if w not in known]
+    if fresh:
+        encoding = _tokenizer(definition).encode(" ".join(fresh), add_special_tokens=False)
+        offsets = np.fromiter((start for start, _ in encoding.offsets), np.int64, len(encoding))
+        borders = np.cumsum([0, *(len(w) + 1 for w in fresh)])
+        known.update(zip(fresh, np.diff(np.searchsorted(offsets, borders)).tolist(), strict=True))
+    return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+
+def _counts(texts: pa.Array, definition: str) -> np.ndarray:
+    """Tokens of each text, by its words between ASCII white space."""
+    lists = pc.ascii_split_whitespace(texts)
+    words = lists.flatten().dictionary_encode()
+    tokens = _word_counts(words.dictionary.to_pylist(), definition)[words.indices.to_numpy()]
+    return np.diff(np.concatenate([[0], np.cumsum(tokens)])[lists.offsets.to_numpy()])
+
+
 @cache
 def _joining() -> frozenset[str]:
     """Characters that composition may join to the one before them, or that this Unicode version doesn't know."""
@@ -253,7 +285,7 @@ def _long_counts(docs: DataFrame, definition: str, chunk: int, overlap: int) ->
         # Only documents with a border that failed now are read again; all their cuts that ever failed stay away.
         now = failed.select(*key).distinct().alias("n")
         lists = gone.groupBy(*key).agg(F.array_sort(F.collect_set("cut")).alias("dropped")).alias("g")
-        lists = lists.join(now, _same("g", "n"), "left_semi").alias("f")
+        lists = saved(lists.join(now, _same("g", "n"), "left_semi"), "token-again").alias("f")
         again = docs.alias("d").join(lists, _same("d", "f")).select("d.doc_id", "d.digest", "d.text", "dropped")
         grown = _encoded(_long_pieces(again, chunk, overlap, added), definition)
         cuts = failed.alias("c")
@@ -286,11 +318,9 @@ def count_tokens(
     doc_type = texts.schema["doc_id"].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(definition)
         for whole in batches:
-            for batch in text_pieces(whole, limit=_BATCH_BYTES):
-                encodings = tokenizer.encode_batch_fast(batch.column("text").to_pylist(), add_special_tokens=False)
-                n = pa.array([len(e) for e in encodings], pa.int64())
+            for batch in text_pieces(whole):
+                n = pa.array(_counts(batch.column("text"), definition), pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), n], names=["doc_id", "n_bytes", "n_tokens"])
 
     n_bytes = F.octet_length("text").cast("long").alias("n_bytes")
