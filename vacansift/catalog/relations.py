@@ -96,6 +96,11 @@ def pick(values: Sequence[str], index: Column) -> Column:
     return F.get(literal_list(values), (index % len(values)).cast("int"))
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Source columns dealt out over all cores before rows are derived from them: a driver table is a single row group, which one task reads."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def url_number(k: Column) -> Column:
     """Of ten orders in a row, three share a URL."""
     return F.when(k % 10 == 9, k - 9).when(k % 5 == 4, k - 4).otherwise(k)
@@ -146,13 +151,13 @@ def raw_postings(orders: DataFrame) -> DataFrame:
 
 def postings(spark: SparkSession, folder: str) -> DataFrame:
     """One posting per order."""
-    return raw_postings(table(spark, folder, "orders").select(*ORDER_COLUMNS))
+    return raw_postings(dealt(table(spark, folder, "orders").select(*ORDER_COLUMNS)))
 
 
 def text_postings(spark: SparkSession, folder: str) -> DataFrame:
     """One posting per document: the whole text between two phrases."""
     d = F.col("doc_id")
-    return table(spark, folder, "documents").select(
+    return dealt(table(spark, folder, "documents").select("doc_id", "source", "text")).select(
         d.alias("k"),
         F.lit("MyJobMag").alias("source"),
         F.concat(F.lit("https://docs.example/job/"), d.cast("string")).alias("source_url"),
@@ -182,7 +187,7 @@ def full_store(spark: SparkSession, folder: str) -> DataFrame:
 
 def _stored(orders: DataFrame) -> DataFrame:
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    owners = orders.where((k % 10 != 9) & (k % 5 != 4))
+    owners = dealt(orders.select(*ORDER_COLUMNS).where((k % 10 != 9) & (k % 5 != 4)))
     at = F.timestamp_add("MINUTE", -(k % 50000), F.lit(AS_OF).cast("timestamp"))
     return owners.select(
         F.when(k % 29 == 0, F.lit("RemoteOK"))
@@ -254,7 +259,7 @@ def detail_pages(orders: DataFrame) -> DataFrame:
         pick(rules.DETAIL_ENDS, k),
         F.lit("</h2>\n<p>Send a diploma.</p></div><footer>Degree</footer></body></html>"),
     )
-    return orders.select(*ORDER_COLUMNS).select(
+    return dealt(orders.select(*ORDER_COLUMNS)).select(
         F.concat(F.lit("https://jobs.example/job/"), k.cast("string")).alias("source_url"),
         F.when(k % 35 == 0, F.lit("<html><body>nothing</body></html>")).otherwise(html).alias("html"),
     )
@@ -339,7 +344,7 @@ def feed(spark: SparkSession, folder: str) -> DataFrame:
         .alias("source"),
         F.when(k % 4 == 0, named("Kenya", "Uganda")).when(k % 4 == 1, named("Kenya")).alias("country"),
     )
-    return table(spark, folder, "orders").select(*ORDER_COLUMNS).select(
+    return dealt(table(spark, folder, "orders").select(*ORDER_COLUMNS)).select(
         k.alias("k"), F.to_json(F.struct(fields.alias("fields"))).alias("entry")
     )
 

@@ -17,9 +17,9 @@ from vacansift.functions.text import collapse_whitespace, once, strip_whitespace
 
 _INVISIBLE = r"(?is)<(script|style|template)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<![a-z][^>]*>"
 _TAG = r"(?s)</?[A-Za-z][^>]*>"
-# All names that end in a semicolon; a map is searched in order, so the usual ones come first.
+# All names that end in a semicolon; a map is searched in order, so the usual names are compared before it.
 _USUAL = ("amp", "nbsp", "lt", "gt", "quot", "apos")
-_NAMES = json.dumps({n: html5[f"{n};"] for n in (*_USUAL, *sorted(k[:-1] for k in html5 if k.endswith(";")))})
+_NAMES = json.dumps({k[:-1]: v for k, v in sorted(html5.items()) if k.endswith(";")})
 _ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 
 
@@ -49,9 +49,10 @@ def unescape(text: Column) -> Column:
         code = F.conv(digits, 16, 10).cast("int")
         in_range = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
         char = F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
-        value = F.when(
-            name.startswith("#"), F.when(in_range, char)
-        ).otherwise(F.try_element_at(names, name))
+        value = F.when(name.startswith("#"), F.when(in_range, char))
+        for usual in _USUAL:
+            value = value.when(name == usual, html5[f"{usual};"])
+        value = value.otherwise(F.try_element_at(names, name))
         rest = F.substring(piece, F.length(name) + F.lit(2), F.length(piece))
         return F.coalesce(F.concat(value, rest), F.concat(F.lit("&"), piece))
 
