@@ -7,10 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from vacansift import rules
-from vacansift.operators import outbox, reports
+from vacansift.operators import changelog, outbox, reports
 from vacansift.operators import store as stores
 from vacansift.plans import digest, maintain, scan
 from vacansift.schemas import LISTING, STORE
+from vacansift.session import written
 from vacansift.sources import tables
 
 DAY = dt.date(2026, 9, 1)
@@ -177,9 +178,10 @@ def test_scan_matches_row_by_row(spark):
     stored = {r["source_url"]: r.asDict() for r in store.collect()}
     state, counts, fresh = simulate_scan(verdicts, stored, failing)
 
-    merged = {r["source_url"]: r.asDict() for r in result.merged.collect()}
+    merged = {r["source_url"]: r.asDict() for r in result.store.collect()}
     assert set(merged) == set(state)
     assert {u for u, r in merged.items() if r["is_new"]} == fresh
+    assert {r["source_url"] for r in result.merged.collect()} <= {v["source_url"] for v in verdicts}
     for url, want in state.items():
         for c in stores.PAYLOAD:
             assert merged[url][c] == want[c], (url, c)
@@ -307,24 +309,82 @@ def test_snapshot_sinks(spark, tmp_path):
     assert stores.read_snapshot(spark, path).exceptAll(store).isEmpty()
 
 
-def test_bucketed_store_is_not_shuffled(spark, tmp_path):
-    stores.write_bucketed(
-        spark.createDataFrame([posting(f"u{i}") for i in range(50)], STORE), "bucketed_store", 8,
-        str(tmp_path / "bucketed"),
-    )
-    rows = spark.createDataFrame([posting("u1"), posting("u1"), posting("new")], STORE)
-    batch = rows.withColumn("seq", F.lit(1)).select("seq", "source_url", *stores.PAYLOAD)
+def above_scans(plan, table):
+    """Operators between the scans of a table and the root of a printed plan."""
+    path, found = {}, []
+    for line in plan.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-*()0123456789"))
+        path = {d: name for d, name in path.items() if d < depth}
+        if "FileScan" in line and table in line:
+            found.append([path[d] for d in sorted(path)])
+        path[depth] = line[depth:]
+    return found
+
+
+@pytest.fixture()
+def log(spark, tmp_path):
+    made = changelog.Log(f"log_{tmp_path.name.replace('-', '_')}", 8, str(tmp_path))
+    yield made
+    spark.sql(f"DROP TABLE IF EXISTS {made.base}")
+    spark.sql(f"DROP TABLE IF EXISTS {made.changes}")
+
+
+@pytest.fixture()
+def no_broadcast(spark):
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    try:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        merged = stores.upsert(spark.table("bucketed_store"), batch, DAY, ("seq",))
-        plan = merged._jdf.queryExecution().sparkPlan().toString()
-        full = merged._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
-    assert "FullOuter" in plan and full.count("Exchange hashpartitioning") == 1
-    assert merged.where("is_new").count() == 1 and merged.where("touched").count() == 1
-    spark.sql("DROP TABLE bucketed_store")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_logged_scan_equals_a_scan_of_a_snapshot(spark, log):
+    listings, store, details = scan_inputs(spark)
+    failed = spark.createDataFrame([(u,) for u in ("hot", "u7", "u9", "u12")], "source_url string")
+    want = scan.run(listings, store, details, DAY, failed_urls=failed)
+    changelog.create(store, log)
+    alerts, metrics = scan.run_logged(listings, log, 0, details, DAY, failed_urls=failed)
+    assert metrics.first() == want.metrics.first() and metrics.first()["school_rejected"] > 0
+    assert sorted(map(tuple, alerts.collect())) == sorted(map(tuple, want.alerts.collect()))
+    after = sorted(map(repr, want.store.collect()))
+    assert sorted(map(repr, changelog.current(spark, log).collect())) == after
+    # Run again under its epoch, it leaves the same store; a second scan finds the marks of delivered alerts.
+    again, same = scan.run_logged(listings, log, 0, details, DAY, failed_urls=failed)
+    assert same.first() == metrics.first() and sorted(map(repr, changelog.current(spark, log).collect())) == after
+    delivered = want.alerts.select("source_url").limit(3).collect()
+    sent = spark.createDataFrame([*delivered, ("nowhere",), (None,)], "source_url string")
+    late, _ = scan.run_logged(listings, log, 1, details, DAY, delivered=sent)
+    left = {r["source_url"] for r in again.collect()} - {r["source_url"] for r in delivered}
+    assert {r["source_url"] for r in late.collect()} == left
+    flags = {r["source_url"]: r["telegram_sent"] for r in changelog.current(spark, log).collect()}
+    assert all(flags[r["source_url"]] for r in delivered) and "nowhere" not in flags
+    with pytest.raises(ValueError, match="epoch"):
+        changelog.append(want.changes, log, 0)
+
+
+def test_logged_store_is_not_shuffled(spark, log, no_broadcast):
+    listings, store, details = scan_inputs(spark)
+    changelog.create(store, log)
+    scan.run_logged(listings, log, 0, details, DAY)
+    judged = written(scan.judge(listings, changelog.versions(spark, log), details, DAY), "judged")
+    frames = [scan.outcomes(judged, changelog.versions(spark, log), DAY), changelog.current(spark, log)]
+    for frame in frames:
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        for table in (log.base, log.changes):
+            ways = above_scans(plan, table)
+            assert ways and not [w for w in ways if any(line.startswith("Exchange") for line in w)], plan
+    assert "SortMergeJoin" in plan
+
+
+def test_compacted_log(spark, log):
+    changelog.create(spark.createDataFrame([posting("a"), posting("b")], STORE), log)
+    changelog.append(spark.createDataFrame([posting("b", score=50), posting("c")], STORE).selectExpr("*", "source_url = 'c' AS is_new", "source_url = 'b' AS touched"), log, 0)
+    changelog.append(spark.createDataFrame([posting("b", score=70)], STORE).selectExpr("*", "false AS is_new", "true AS touched"), log, 4)
+    into = changelog.Log(log.name + "_later", 4, log.folder + "/later")
+    changelog.compact(spark, log, into)
+    rows = {r["source_url"]: (r["score"], r["is_new"], r["touched"]) for r in changelog.current(spark, into).collect()}
+    assert rows == {"a": (10, False, False), "b": (70, False, False), "c": (10, False, False)}
+    spark.sql(f"DROP TABLE {into.base}")
+    spark.sql(f"DROP TABLE {into.changes}")
 
 
 def test_lookup_reaches_the_scan(spark, tmp_path):

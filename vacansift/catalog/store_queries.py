@@ -10,7 +10,7 @@ from vacansift.catalog import relations as R
 from vacansift.catalog import sql_rules as S
 from vacansift.catalog.registry import query, sql_stamp, stamp
 from vacansift.catalog.scoring_queries import DETAILS_SQL
-from vacansift.operators import collect, outbox, scoring
+from vacansift.operators import changelog, collect, outbox, scoring
 from vacansift.operators import store as stores
 from vacansift.plans import digest, maintain, scan
 from vacansift.schemas import STORE
@@ -86,6 +86,15 @@ def upsert(spark: SparkSession, folder: str) -> DataFrame:
     return merged.select(*_UPSERT_COLUMNS.split(", "), stamp("updated_at"))
 
 
+def new_log(store: DataFrame) -> changelog.Log:
+    """A store with a log of changes, under a name of its own."""
+    spark = store.sparkSession
+    folder, name = new_folder(spark, "store").rsplit("/", 1)
+    log = changelog.Log(name.replace("-", "_"), int(spark.conf.get("spark.sql.shuffle.partitions")), f"{folder}/{name}")
+    changelog.create(store, log)
+    return log
+
+
 @query(
     "upsert_changes",
     f"""WITH {R.POSTINGS_SQL}, {R.STORE_SQL}, {CATEGORISED_SQL},
@@ -94,12 +103,10 @@ def upsert(spark: SparkSession, folder: str) -> DataFrame:
 )
 def upsert_changes(spark: SparkSession, folder: str) -> DataFrame:
     """The change set of an upsert into a bucketed store."""
-    path = new_folder(spark, "bucketed")
-    name = "store_" + path.rsplit("-", 1)[1]
-    stores.write_bucketed(R.store(spark, folder), name, 8, path)
+    log = new_log(R.store(spark, folder))
     listed = collect.with_category(R.postings(spark, folder).where(collect.known_url()))
     batch = stores.payload(scoring.score_postings(listed, DAY))
-    changed = stores.upsert_changes(spark.table(name), batch, DAY, ("seq",))
+    changed = stores.upsert_changes(spark.table(log.base), batch, DAY, ("seq",))
     return changed.select(*_UPSERT_COLUMNS.split(", "), stamp("updated_at"))
 
 
@@ -165,10 +172,10 @@ def _scan(
     f"WITH {SCAN_SQL} SELECT {_UPSERT_COLUMNS}, description, {sql_stamp('updated_at')} FROM merged",
 )
 def scan_store(spark: SparkSession, folder: str) -> DataFrame:
-    """The store after a whole scan: score, gate, qualify, upsert."""
-    return _scan(spark, folder).merged.select(
-        *_UPSERT_COLUMNS.split(", "), "description", stamp("updated_at")
-    )
+    """The store after a whole scan that is logged: score, gate, qualify, append the changes, merge on read."""
+    log = new_log(R.store(spark, folder))
+    scan.run_logged(R.postings(spark, folder), log, 0, detail_pages.parse(R.details(spark, folder)), DAY)
+    return changelog.current(spark, log).select(*_UPSERT_COLUMNS.split(", "), "description", stamp("updated_at"))
 
 
 def _escape(value: str) -> str:
@@ -238,8 +245,11 @@ def scan_metrics(spark: SparkSession, folder: str) -> DataFrame:
     number = F.regexp_extract("source_url", r"(\d+)$", 1).cast("long")
     listed = R.postings(spark, folder).where(collect.known_url())
     failed = listed.select("source_url").where(number % 7 == 0)
-    # Several counters read the judged rows: written once, read back.
-    return _scan(spark, folder, failed, new_folder(spark, "judged")).metrics
+    _, metrics = scan.run_logged(
+        R.postings(spark, folder), new_log(R.store(spark, folder)), 0, detail_pages.parse(R.details(spark, folder)), DAY,
+        failed_urls=failed,
+    )
+    return metrics
 
 
 @query(
@@ -248,15 +258,12 @@ def scan_metrics(spark: SparkSession, folder: str) -> DataFrame:
 )
 def scan_after_delivery(spark: SparkSession, folder: str) -> DataFrame:
     """Alerts of a second scan of the same listings, after most alerts of the first went out: only the failed ones come again."""
-    first = _scan(spark, folder, work_folder=new_folder(spark, "judged"))
-    rows = written(first.merged, "merged")
+    log, pages = new_log(R.store(spark, folder)), detail_pages.parse(R.details(spark, folder))
+    first, _ = scan.run_logged(R.postings(spark, folder), log, 0, pages, DAY)
     number = F.regexp_extract("source_url", r"(\d+)$", 1).cast("long")
-    delivered = scan.alerts(rows).where(number % 7 != 0).select("source_url")
-    second = scan.run(
-        R.postings(spark, folder), rows.select(*STORE.names), detail_pages.parse(R.details(spark, folder)), DAY,
-        work_folder=new_folder(spark, "judged"), delivered=delivered,
-    )
-    return second.alerts.select("source_url", "kind", "score")
+    delivered = first.where(number % 7 != 0).select("source_url")
+    second, _ = scan.run_logged(R.postings(spark, folder), log, 1, pages, DAY, delivered=delivered)
+    return second.select("source_url", "kind", "score")
 
 
 # ------------------------------------------------------------------- flags --

@@ -49,10 +49,11 @@ def collapse(
 
     ``rows`` carry the payload columns and two flags: ``inserts`` (the row may
     create the URL) and ``fills`` (the row may also fill missing fields of an
-    existing one). Result: the inserting row (``row``), the ``display`` fields of
+    existing one), and ``rejected`` where rows can be refused. Result: the inserting row (``row``), the ``display`` fields of
     the first filling row (``latest``), a ``fill_<field>`` per backfilled field
-    and the number of filling rows.
+    and the numbers of filling and of refused rows.
     """
+    refused = F.col("rejected") if "rejected" in rows.columns else F.lit(False)
     rank = F.struct(*order)
     inserting = F.when(F.col("inserts"), rank)
     filling = F.when(F.col("fills"), rank)
@@ -65,6 +66,7 @@ def collapse(
         F.min(inserting).alias("first_rank"),
         F.min_by(F.struct(*display), filling).alias("latest"),
         F.count_if(F.col("fills")).alias("n_fills"),
+        F.count_if(refused).alias("n_rejected"),
         *fills,
     )
 
@@ -74,13 +76,31 @@ def merge(store: DataFrame, batch: DataFrame, as_of: dt.date | Column) -> DataFr
 
     Both sides have one row per URL, so no key is hot. Result: the store
     columns plus ``is_new``, ``touched``, ``in_store`` and the batch's
-    ``n_fills``, ``first_rank`` and ``latest``.
+    ``n_fills``, ``n_rejected``, ``first_rank`` and ``latest``.
     """
+    both = _stored(store).join(batch, "source_url", "full_outer")
+    return _outcomes(both, as_of).where(F.col("in_store") | F.col("is_new"))
+
+
+def merge_listed(versions: Sequence[DataFrame], batch: DataFrame, as_of: dt.date | Column) -> DataFrame:
+    """What a merge does to the URLs of a collapsed batch, and to no others: a row per URL, also for those that stay unknown.
+
+    ``versions`` hold the store, the newest first, each with at most one row per URL (``changelog.versions``). Every join keeps the batch's side, so rows of
+    other URLs are never moved on, and tables bucketed by URL are not moved at all.
+    """
+    both = batch
+    for place, version in enumerate(versions):
+        both = both.join(_stored(version).withColumnRenamed("s", f"s{place}"), "source_url", "left")
+    places = [f"s{place}" for place in range(len(versions))]
+    return _outcomes(both.withColumn("s", F.coalesce(*places)).drop(*places), as_of)
+
+
+def _stored(store: DataFrame) -> DataFrame:
+    return store.select("source_url", F.struct(*[c for c in STORE.names if c != "source_url"]).alias("s"))
+
+
+def _outcomes(both: DataFrame, as_of: dt.date | Column) -> DataFrame:
     now = moment(as_of)
-    stored = store.select(
-        "source_url", F.struct(*[c for c in STORE.names if c != "source_url"]).alias("s")
-    )
-    both = stored.join(batch, "source_url", "full_outer")
     in_store = F.col("s").isNotNull()
     is_new = ~in_store & F.col("row").isNotNull()
     touched = in_store & (F.coalesce(F.col("n_fills"), F.lit(0)) > 0)
@@ -114,11 +134,11 @@ def merge(store: DataFrame, batch: DataFrame, as_of: dt.date | Column) -> DataFr
         *[pick(f) for f in STORE.fields],
         is_new.alias("is_new"),
         touched.alias("touched"),
-        F.coalesce(F.col("n_fills"), F.lit(0)).alias("n_fills"),
+        *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("n_fills", "n_rejected")],
         F.col("first_rank"),
         F.col("latest"),
         in_store.alias("in_store"),
-    ).where(F.col("in_store") | F.col("is_new"))
+    )
 
 
 def upsert(
@@ -138,14 +158,15 @@ def upsert_changes(
 ) -> DataFrame:
     """Only the rows that ``upsert`` inserts or fills, as a change set beside the store.
 
-    Stored postings that are not listed are neither moved nor written: the store meets the listed URLs first, and a bucketed store
-    (``write_bucketed``) does so without a shuffle.
+    Stored postings that are not listed are not written, and a bucketed store (``changelog.create``) is not moved.
     """
     flagged = rows.withColumns({"inserts": F.lit(True), "fills": F.lit(True)})
-    batch = collapse(flagged, order)
-    listed = store.join(rows.select("source_url").distinct(), "source_url", "left_semi")
-    merged = merge(listed, batch, as_of)
-    return merged.where(F.col("is_new") | F.col("touched")).select(*STORE.names, "is_new", "touched")
+    return changed(merge_listed([store], collapse(flagged, order), as_of))
+
+
+def changed(outcomes: DataFrame) -> DataFrame:
+    """The rows of a merge that differ from the store, in the store's columns, with ``is_new`` and ``touched``."""
+    return outcomes.where(F.col("is_new") | F.col("touched")).select(*STORE.names, "is_new", "touched")
 
 
 def mark(
@@ -166,6 +187,17 @@ def mark(
     )
 
 
+def marked_changes(versions: Sequence[DataFrame], urls: DataFrame, flag: str, as_of: dt.date | Column) -> DataFrame:
+    """The listed rows that a ``mark`` changes, for a log of changes; rows of other URLs are not moved, unknown URLs ignored."""
+    both = urls.select("source_url").where("source_url IS NOT NULL").distinct()
+    for place, version in enumerate(versions):
+        both = both.join(_stored(version).withColumnRenamed("s", f"s{place}"), "source_url", "left")
+    row = F.coalesce(*[f"s{place}" for place in range(len(versions))])
+    rows = both.select("source_url", row.alias("s")).where("s IS NOT NULL").select("source_url", "s.*")
+    new = rows.where(~F.coalesce(F.col(flag), F.lit(False))).withColumns({flag: F.lit(True), "updated_at": moment(as_of)})
+    return new.select(*STORE.names, F.lit(False).alias("is_new"), F.lit(False).alias("touched"))
+
+
 def toggle(store: DataFrame, commands: DataFrame, flag: str) -> DataFrame:
     """Apply on/off commands: the last one per URL sets the flag and its time.
 
@@ -256,11 +288,3 @@ def write_snapshot(store: DataFrame, path: str) -> None:
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STORE).parquet(path).select(*STORE.names)
-
-
-def write_bucketed(store: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
-    """Save a snapshot bucketed by URL: later merges shuffle only the batch."""
-    writer = store.write.mode("errorifexists").format("parquet")
-    if path is not None:
-        writer = writer.option("path", path)
-    writer.bucketBy(buckets, "source_url").sortBy("source_url").saveAsTable(table)
