@@ -177,3 +177,52 @@ def test_very_long_cells_and_pages(spark):
         rule(spark.createDataFrame([(1, html)], "page_id int, html string"), DAY).collect()
     row = boards.psc(spark.createDataFrame([(1, html)], "page_id int, html string"), DAY).first()
     assert row["title"] == "Guard" and len(row["description"]) > 200_000
+
+
+def outlined(spark, html, opening="<h2", names=("li", "div")):
+    """Markup of the nearest containers around each anchor, per name."""
+    from vacansift.functions import containers
+
+    df = spark.createDataFrame([(" " + html,)], "html string").withColumn("parts", containers.pieces(F.col("html"), opening))
+    df = df.withColumn("o", containers.outline(F.col("parts"), opening))
+
+    def around(name):
+        first = lambda i: F.get(containers.around(F.col("o"), i, [name]), F.lit(0))
+        return F.transform(F.sequence(F.lit(1), F.size("o.anchors")), lambda i: containers.content(F.col("parts"), F.col("o"), first(i)))
+
+    return [list(v) for v in df.select(*[around(n) for n in names]).first()]
+
+
+@pytest.mark.parametrize(
+    "html, items, divs",
+    [
+        ("<li>a<h2>t</h2>b</li>c", ["<li>a<h2>t</h2>b"], [None]),
+        ("<div>a<div>b</div><h2>t</h2><div>c</div>d</div>e", [None], ["<div>a<div>b</div><h2>t</h2><div>c</div>d"]),
+        ("<ul><li>a<h2>t</h2><li>b<h2>u</h2></ul>c", ["<li>a<h2>t</h2>", "<li>b<h2>u</h2>"], [None, None]),
+        ("<li><h2>t</h2><ul><li>x<li>y</ul>z</li>", ["<li><h2>t</h2><ul><li>x<li>y</ul>z"], [None]),
+        ("</div></li><DIV id='a'><h2>t</h2></li>u", [None], ["<DIV id='a'><h2>t</h2></li>u"]),
+        ("<div><li><h2>t</h2>a</div>b<h2>u</h2>", ["<li><h2>t</h2>a", None], ["<div><li><h2>t</h2>a", None]),
+        ("<h2>t</h2>", [None], [None]),
+        ("<div>" * 40 + "<h2>t</h2>" + "</div>" * 40, [None], ["<div><h2>t</h2>"]),
+    ],
+)
+def test_containers_of_anchors(spark, html, items, divs):
+    assert outlined(spark, html) == [items, divs]
+
+
+def test_table_cells_end_where_the_next_one_starts(spark):
+    html = "<table><tr><td>a<h2>t</h2><td>b<table><tr><td>n</table><h2>u</h2><tr><td>c</table>"
+    cells, rows = outlined(spark, html, names=("td", "tr"))
+    assert cells == ["<td>a<h2>t</h2>", "<td>b<table><tr><td>n</table><h2>u</h2>"]
+    assert rows == ["<tr><td>a<h2>t</h2><td>b<table><tr><td>n</table><h2>u</h2>"] * 2
+
+
+def test_cards_climb_to_the_element_with_the_date(spark):
+    card = '<div><div><a href="/listings/{0}">Clerk {0}</a></div><p>Firm {0}</p><p>Nairobi</p><div>{1}</div></div>'
+    html = "<div>" + card.format(1, "3 days ago") + card.format(2, "") + card.format(3, "Easy apply") + "</div>"
+    rows = boards.brightermonday(spark.createDataFrame([(1, html)], "page_id int, html string"), DAY)
+    found = {r["source_url"][-1]: (r["title"], r["company"], r["posted_date"]) for r in rows.collect()}
+    # A card without date or label takes the first element above that has one, here the whole list.
+    assert found["1"] == ("Clerk 1", "Firm 1", DAY - dt.timedelta(days=3))
+    assert found["3"] == ("Clerk 3", "Firm 3", None)
+    assert found["2"][0] == "Clerk 2" and found["2"][2] == DAY - dt.timedelta(days=3)
