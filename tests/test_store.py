@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vacansift import rules
-from vacansift.operators import changelog, outbox, reports
+from vacansift.operators import changelog, children, outbox, reports, scoring
 from vacansift.operators import store as stores
 from vacansift.plans import digest, maintain, scan
 from vacansift.schemas import LISTING, STORE
@@ -277,6 +277,61 @@ def test_maintenance(spark):
     assert once.columns == STORE.names and once.exceptAll(stores.add_columns(once)).isEmpty()
 
 
+def test_children_of_purged_postings_go_in_one_join(spark, no_broadcast):
+    store = spark.createDataFrame(
+        [posting("a", saved=True, saved_at=NOW), posting("b", applied=True, applied_at=OLD), posting("gone", eligibility="REMOTE-AFRICA")],
+        STORE,
+    )
+    notes = spark.createDataFrame([("a", "x", 1), ("a", None, 2), ("gone", "y", 3), (None, "z", 4)], "source_url string, text string, child_row int")
+    tables = {"saved": children.saved(store), "application": children.applications(store), "note": notes, "key": store.select("source_url")}
+    kept, rest = maintain.run(store, tables, DAY)
+    assert {name: rows.columns for name, rows in rest.items()} == {name: rows.columns for name, rows in tables.items()}
+    assert [tuple(r) for r in rest["saved"].collect()] == [("a", NOW)]
+    (applied,) = rest["application"].collect()
+    assert applied["status"] == "applied" and applied["applied_at"] == OLD and applied["interview_at"] is None
+    assert sorted(r["child_row"] for r in rest["note"].collect()) == [1, 2]
+    assert {r[0] for r in rest["key"].collect()} == {"a", "b"}
+    # What is read back is written: no table is joined again.
+    assert "Join" not in rest["note"]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_match_rows_keep_all_skills_and_places(spark):
+    skills = list(rules.DEFAULT_PROFILE.skills)[:9]
+    text = ", ".join(skills) + ". " + ", ".join(rules.DEFAULT_PROFILE.locations)
+    rows = [("PSC", "u", "Clerk", "C", "Nairobi", text, "", DAY, None, None, 1), ("PSC", "u", "Other", "C", "Nairobi", "", "", DAY, None, None, 2)]
+    scored = scoring.score_postings(spark.createDataFrame(rows, LISTING), DAY)
+    (match,) = children.matches(scored, ("seq",)).collect()
+    first = scored.where("seq = 1").first()
+    assert match["matched_skills"].split("; ") == first["skills"] and len(first["skills"]) >= 9
+    assert match["matched_locations"].split("; ") == first["matched_locations"] and len(first["matched_locations"]) > rules.LOCATIONS_SHOWN
+    assert match["reasons"] == "; ".join(first["reasons"]) and match["score"] == first["score"]
+
+
+def test_digest_that_broke_off_marks_what_it_reported(spark, log, tmp_path, monkeypatch):
+    rows = [posting("a", score=90, tier="strong"), posting("b"), posting("c", digested=None), posting("d", digested=True)]
+    changelog.create(spark.createDataFrame(rows, STORE), log)
+    root = str(tmp_path / "digest")
+
+    def broken(*_):
+        raise OSError("stopped")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(changelog, "append", broken)
+        with pytest.raises(OSError):
+            digest.run_logged(spark, log, 2, DAY, "H", root)
+    # A posting that turns up before the digest is run again waits for the next one.
+    late = spark.createDataFrame([posting("late", score=99, tier="strong")], STORE)
+    changelog.append(late.selectExpr("*", "true AS is_new", "false AS touched"), log, 1)
+    digest.run_logged(spark, log, 2, DAY, "H", root)
+    digest.run_logged(spark, log, 2, DAY, "H", root)
+    flags = {r["source_url"]: r["digested"] for r in changelog.current(spark, log).collect()}
+    assert flags == {"a": True, "b": True, "c": None, "d": True, "late": False}
+    report = " ".join(r["block"] for r in spark.read.parquet(f"{root}/report/epoch=2").collect())
+    assert "2 new jobs" in report and "99%" not in report
+    digest.run_logged(spark, log, 3, DAY, "H", root)
+    assert changelog.current(spark, log).where("source_url = 'late'").first()["digested"]
+
+
 def test_seed_keeps_existing_rows(spark):
     have = spark.createDataFrame([("a", "x")], "name string, base_url string")
     names = spark.createDataFrame([("a",), ("b",), ("b",)], "name string")
@@ -302,6 +357,34 @@ def test_outbox(spark):
     }
 
 
+def test_outbox_by_slices_equals_one_fold(spark):
+    rng = random.Random(9)
+    rows = [
+        (f"u{rng.randrange(6)}", rng.choice("ab"), rng.choice(["sent", "failed", "pending"]), f"e{i}", NOW + dt.timedelta(minutes=rng.randrange(9)), i)
+        for i in range(200)
+    ]
+    schema = "source_url string, channel string, outcome string, error string, at timestamp, event_id int"
+    events = spark.createDataFrame(rows, schema)
+    want = sorted(map(repr, outbox.fold(events).collect()))
+    states = outbox.partial(events.limit(0))
+    assert outbox.finished(states).collect() == []
+    for last in (40, 120, 120, 90, 199, 199):
+        states = spark.createDataFrame(outbox.advanced(states, events.where(F.col("event_id") <= last)).collect(), states.schema)
+    assert sorted(map(repr, outbox.finished(states).collect())) == want
+    parts = [outbox.partial(events.where(F.col("event_id") % 3 == k)) for k in (2, 0, 1)]
+    together = outbox.merged(parts[0].unionByName(outbox.merged(parts[1].unionByName(parts[2]))))
+    assert sorted(map(repr, outbox.finished(together).collect())) == want
+
+
+def test_only_new_events_are_read(spark, tmp_path):
+    path = str(tmp_path / "events")
+    spark.range(10).selectExpr("'u' AS source_url", "'c' AS channel", "'sent' AS outcome", "'' AS error", "now() AS at", "id AS event_id").write.parquet(path)
+    events = spark.read.parquet(path)
+    states = outbox.partial(events.where("event_id < 5"))
+    plan = outbox.advanced(states, events)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(event_id,4)" in plan
+
+
 def test_snapshot_sinks(spark, tmp_path):
     store = spark.createDataFrame([posting("a"), posting("b", category="FORM4")], STORE)
     path = str(tmp_path / "snap")
@@ -342,17 +425,19 @@ def test_logged_scan_equals_a_scan_of_a_snapshot(spark, log):
     failed = spark.createDataFrame([(u,) for u in ("hot", "u7", "u9", "u12")], "source_url string")
     want = scan.run(listings, store, details, DAY, failed_urls=failed)
     changelog.create(store, log)
-    alerts, metrics = scan.run_logged(listings, log, 0, details, DAY, failed_urls=failed)
+    alerts, metrics, matches = scan.run_logged(listings, log, 0, details, DAY, failed_urls=failed)
+    assert sorted(map(tuple, matches.collect())) == sorted(map(tuple, want.matches.collect()))
+    assert {r["source_url"] for r in matches.collect()} == {r["source_url"] for r in want.changes.where("is_new").collect()}
     assert metrics.first() == want.metrics.first() and metrics.first()["school_rejected"] > 0
     assert sorted(map(tuple, alerts.collect())) == sorted(map(tuple, want.alerts.collect()))
     after = sorted(map(repr, want.store.collect()))
     assert sorted(map(repr, changelog.current(spark, log).collect())) == after
     # Run again under its epoch, it leaves the same store; a second scan finds the marks of delivered alerts.
-    again, same = scan.run_logged(listings, log, 0, details, DAY, failed_urls=failed)
+    again, same, _ = scan.run_logged(listings, log, 0, details, DAY, failed_urls=failed)
     assert same.first() == metrics.first() and sorted(map(repr, changelog.current(spark, log).collect())) == after
     delivered = want.alerts.select("source_url").limit(3).collect()
     sent = spark.createDataFrame([*delivered, ("nowhere",), (None,)], "source_url string")
-    late, _ = scan.run_logged(listings, log, 1, details, DAY, delivered=sent)
+    late, _, _ = scan.run_logged(listings, log, 1, details, DAY, delivered=sent)
     left = {r["source_url"] for r in again.collect()} - {r["source_url"] for r in delivered}
     assert {r["source_url"] for r in late.collect()} == left
     flags = {r["source_url"]: r["telegram_sent"] for r in changelog.current(spark, log).collect()}

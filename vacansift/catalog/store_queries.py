@@ -10,7 +10,7 @@ from vacansift.catalog import relations as R
 from vacansift.catalog import sql_rules as S
 from vacansift.catalog.registry import query, sql_stamp, stamp
 from vacansift.catalog.scoring_queries import DETAILS_SQL
-from vacansift.operators import changelog, collect, outbox, scoring
+from vacansift.operators import changelog, children, collect, outbox, scoring
 from vacansift.operators import store as stores
 from vacansift.plans import digest, maintain, scan
 from vacansift.schemas import STORE
@@ -245,11 +245,11 @@ def scan_metrics(spark: SparkSession, folder: str) -> DataFrame:
     number = F.regexp_extract("source_url", r"(\d+)$", 1).cast("long")
     listed = R.postings(spark, folder).where(collect.known_url())
     failed = listed.select("source_url").where(number % 7 == 0)
-    _, metrics = scan.run_logged(
+    done = scan.run_logged(
         R.postings(spark, folder), new_log(R.store(spark, folder)), 0, detail_pages.parse(R.details(spark, folder)), DAY,
         failed_urls=failed,
     )
-    return metrics
+    return done.metrics
 
 
 @query(
@@ -259,11 +259,11 @@ def scan_metrics(spark: SparkSession, folder: str) -> DataFrame:
 def scan_after_delivery(spark: SparkSession, folder: str) -> DataFrame:
     """Alerts of a second scan of the same listings, after most alerts of the first went out: only the failed ones come again."""
     log, pages = new_log(R.store(spark, folder)), detail_pages.parse(R.details(spark, folder))
-    first, _ = scan.run_logged(R.postings(spark, folder), log, 0, pages, DAY)
+    first = scan.run_logged(R.postings(spark, folder), log, 0, pages, DAY).alerts
     number = F.regexp_extract("source_url", r"(\d+)$", 1).cast("long")
     delivered = first.where(number % 7 != 0).select("source_url")
-    second, _ = scan.run_logged(R.postings(spark, folder), log, 1, pages, DAY, delivered=delivered)
-    return second.select("source_url", "kind", "score")
+    second = scan.run_logged(R.postings(spark, folder), log, 1, pages, DAY, delivered=delivered)
+    return second.alerts.select("source_url", "kind", "score")
 
 
 # ------------------------------------------------------------------- flags --
@@ -296,6 +296,20 @@ def mark_digested(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "digest_logged",
+    f"""WITH {R.FULL_STORE_SQL}
+    SELECT source_url, CASE WHEN digested IS NULL THEN NULL ELSE true END AS digested,
+      strftime(CASE WHEN NOT digested THEN {NOW} ELSE updated_at END, '%Y-%m-%d %H:%M:%S') AS updated_at
+    FROM store""",
+)
+def digest_logged(spark: SparkSession, folder: str) -> DataFrame:
+    """The store after a digest whose marks are logged beside it."""
+    log = new_log(R.full_store(spark, folder))
+    digest.run_logged(spark, log, 0, DAY, "Digest", new_folder(spark, "digest"))
+    return changelog.current(spark, log).select("source_url", "digested", stamp("updated_at"))
+
+
 def _toggled(flag: str, wanted: str) -> str:
     return (
         f"SELECT source_url, arg_max(value, (moment, command_id)) AS value, arg_max(moment, (moment, command_id)) AS moment "
@@ -319,9 +333,7 @@ def toggle_state(spark: SparkSession, folder: str) -> DataFrame:
     return both.select("source_url", "saved", stamp("saved_at"), "applied", stamp("applied_at"))
 
 
-@query(
-    "outbox_fold",
-    f"""WITH {R.DELIVERIES_SQL}, {{outbox}}
+_OUTBOX_SQL = f"""WITH {R.DELIVERIES_SQL}, {{outbox}}
     SELECT source_url, channel, status, attempts, last_error, {sql_stamp('sent_at')}, {sql_stamp('created_at')},
       {sql_stamp('updated_at')} FROM outbox""".replace(
         "{outbox}",
@@ -333,13 +345,29 @@ def toggle_state(spark: SparkSession, folder: str) -> DataFrame:
         max(moment) FILTER (WHERE outcome = 'sent') AS sent_at, min(moment) AS created_at,
         coalesce(max(moment) FILTER (WHERE outcome <> 'pending'), min(moment)) AS updated_at
       FROM deliveries GROUP BY source_url, channel)""",
-    ),
 )
+_OUTBOX = ("source_url", "channel", "status", "attempts", "last_error")
+
+
+def _shown_outbox(notifications: DataFrame) -> DataFrame:
+    return notifications.select(*_OUTBOX, stamp("sent_at"), stamp("created_at"), stamp("updated_at"))
+
+
+@query("outbox_fold", _OUTBOX_SQL)
 def outbox_fold(spark: SparkSession, folder: str) -> DataFrame:
-    return outbox.fold(R.deliveries(spark, folder)).select(
-        "source_url", "channel", "status", "attempts", "last_error",
-        stamp("sent_at"), stamp("created_at"), stamp("updated_at"),
-    )
+    return _shown_outbox(outbox.fold(R.deliveries(spark, folder)))
+
+
+@query("outbox_merge", _OUTBOX_SQL)
+def outbox_merge(spark: SparkSession, folder: str) -> DataFrame:
+    """The outbox kept up over three slices of the log of events, one of which comes twice."""
+    events = R.deliveries(spark, folder)
+    last = events.agg(F.max("event_id")).first()[0] or 0
+    slices = [events.where(F.col("event_id") <= last * (n + 1) // 3) for n in range(3)]
+    states = written(outbox.partial(slices[0]), "outbox")
+    for part in (slices[1], slices[1], slices[2]):
+        states = written(outbox.advanced(states, part), "outbox")
+    return _shown_outbox(outbox.finished(states))
 
 
 # ------------------------------------------------------------- maintenance --
@@ -364,19 +392,52 @@ _KEPT = (
 
 @query(
     "purge_cascade",
-    f"""WITH {R.FULL_STORE_SQL}, {R.DELIVERIES_SQL}, kept AS (SELECT source_url FROM store WHERE {_KEPT})
+    f"""WITH {R.FULL_STORE_SQL}, {R.DELIVERIES_SQL}, {R.POSTINGS_SQL}, kept AS (SELECT source_url FROM store WHERE {_KEPT})
     SELECT 'posting' AS kind, source_url, 1::BIGINT AS n FROM kept
     UNION ALL SELECT 'delivery', source_url, count(*) FROM deliveries
-      WHERE source_url IN (SELECT source_url FROM kept) GROUP BY source_url""",
+      WHERE source_url IN (SELECT source_url FROM kept) GROUP BY source_url
+    UNION ALL SELECT 'saved', source_url, 1 FROM store WHERE saved AND ({_KEPT})
+    UNION ALL SELECT 'application', source_url, 1 FROM store WHERE applied AND ({_KEPT})
+    UNION ALL SELECT 'match', source_url, 1 FROM (SELECT DISTINCT source_url FROM postings WHERE source_url <> '')
+      WHERE source_url IN (SELECT source_url FROM kept)""",
 )
 def purge_cascade(spark: SparkSession, folder: str) -> DataFrame:
-    """Maintenance of a snapshot: what stays of postings and their children."""
-    kept, children = maintain.run(
-        R.full_store(spark, folder), {"delivery": R.deliveries(spark, folder)}, DAY
+    """Maintenance of a snapshot: what stays of postings and their four child tables."""
+    store = R.full_store(spark, folder)
+    kept, rest = maintain.run(
+        store,
+        {
+            "delivery": R.deliveries(spark, folder),
+            "saved": children.saved(store),
+            "application": children.applications(store),
+            "match": _matches(spark, folder),
+        },
+        DAY,
     )
-    postings = kept.select(F.lit("posting").alias("kind"), "source_url", F.lit(1).cast("long").alias("n"))
-    deliveries = children["delivery"].groupBy("source_url").agg(F.count(F.lit(1)).alias("n"))
-    return postings.unionByName(deliveries.select(F.lit("delivery").alias("kind"), "source_url", "n"))
+    rows = kept.select(F.lit("posting").alias("kind"), "source_url", F.lit(1).cast("long").alias("n"))
+    for name, child in rest.items():
+        counts = child.groupBy("source_url").agg(F.count(F.lit(1)).alias("n"))
+        rows = rows.unionByName(counts.select(F.lit(name).alias("kind"), "source_url", "n"))
+    return rows
+
+
+def _matches(spark: SparkSession, folder: str) -> DataFrame:
+    listed = collect.with_category(R.postings(spark, folder).where(collect.known_url()))
+    return children.matches(scoring.score_postings(listed, DAY), ("seq",))
+
+
+@query(
+    "match_rows",
+    f"""WITH {R.POSTINGS_SQL}, {S.SCORED_SQL}
+    SELECT source_url, r.score AS score, r.tier AS tier, array_to_string(r.skills, '; ') AS matched_skills,
+      array_to_string(r.matched_locations, '; ') AS matched_locations, array_to_string(r.reasons, '; ') AS reasons,
+      array_to_string(r.blockers, '; ') AS blockers
+    FROM (SELECT source_url, arg_min({{'score': score, 'tier': tier, 'skills': skills, 'matched_locations': matched_locations,
+      'reasons': reasons, 'blockers': blockers}}, seq) AS r FROM scored WHERE source_url <> '' GROUP BY source_url)""",
+)
+def match_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The match table of all postings: every skill and place, also those that the reasons don't show."""
+    return _matches(spark, folder)
 
 
 @query(

@@ -248,11 +248,6 @@ def purge(store: DataFrame) -> DataFrame:
     return store.where(~purgeable())
 
 
-def cascade(children: DataFrame, kept: DataFrame) -> DataFrame:
-    """Child rows whose posting still exists."""
-    return children.join(kept.select("source_url"), "source_url", "left_semi")
-
-
 def add_columns(
     table: DataFrame,
     schema: T.StructType = STORE,

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +20,7 @@ from vacansift import rules
 from vacansift.operators import collect
 from vacansift.plans import scan
 from vacansift.schemas import LISTING, STORE
+from vacansift.session import read_if_written
 
 _CHANGED = T.StructType([*STORE.fields, T.StructField("epoch", T.LongType())])
 
@@ -55,7 +55,7 @@ def current(
         F.max_by(F.struct(*others), F.col("epoch")).alias("row")
     )
     rows = newest.select("source_url", "row.*").select(*STORE.names)
-    sent = _read_or_none(spark, "source_url string", f"{root}/delivered")
+    sent = read_if_written(spark, "source_url string", f"{root}/delivered")
     if sent is None:
         return rows
     sent = sent.distinct().withColumn("delivered", F.lit(True))
@@ -63,17 +63,8 @@ def current(
     return rows.join(sent, "source_url", "left").withColumn("telegram_sent", marked).select(*STORE.names)
 
 
-def _read_or_none(spark: SparkSession, schema: str, path: str) -> DataFrame | None:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-
-
 def _compacted_through(spark: SparkSession, root: str) -> int | None:
-    done = _read_or_none(spark, "through long", f"{root}/compactions")
+    done = read_if_written(spark, "through long", f"{root}/compactions")
     return None if done is None else done.agg(F.max("through")).first()[0]
 
 
