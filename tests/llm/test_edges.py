@@ -105,3 +105,28 @@ def test_pipeline_stages_on_awkward_rows(spark, awkward, tmp_path):
             out = stage(spark, docs, folder)
             assert name == "pieces" or out.columns == columns
             assert out.count() <= len(TEXTS)
+
+
+CLASHING = ["_doc", "_key", "_deleted", "_parts", "_stretches", "_row", "_id", "_missing", "doc", "KEY", "deleted", "parts", "stretches",
+    "missing", "id", "digest", "row", "row_number", "component", "b", "token", "label"]
+
+
+def test_stages_and_operators_with_clashing_columns(spark, awkward, tmp_path):
+    folder = str(tmp_path)
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    docs = awkward.select(*columns).withColumns({c: F.lit("x") for c in CLASHING})
+    spark.createDataFrame([(1, 1, 0), (8, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "Another line there.")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        plain = stage(spark, awkward.select(*columns), folder)
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        assert sorted(map(repr, out.select(*columns).collect())) == sorted(map(repr, plain.collect())), name
+    assert substring_dedup.dedup(docs).count() == len(TEXTS)
+
+
+def test_rows_without_an_id_are_held_out(spark):
+    from vacansift.llm.queries_models import held_out
+
+    rows = spark.createDataFrame([(None,), (1,), (2,), (3,)], "doc_id long").select("doc_id", held_out(5, 0)).collect()
+    assert rows[0]["held_out"] is True and all(isinstance(r["held_out"], bool) for r in rows)

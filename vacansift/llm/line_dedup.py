@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vacansift.llm.shared import saved, text_or_empty
+from vacansift.llm.shared import saved, text_or_empty, unused
 
 #: Words that make a run of fewer lines than asked for count as well.
 LONG_WORDS = 50
@@ -102,26 +102,27 @@ def dedup(docs: DataFrame, run_lines: int = 2, run_words: int | None = LONG_WORD
     null, an empty one empty; an empty table gives no rows. Input columns with the names of results are replaced.
     """
     columns = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
+    doc, key, deleted, own_parts = unused(docs.columns, "doc", "key", "deleted", "parts")
     copies = later_copies(docs, run_lines, run_words).select(
-        F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), F.col("deleted").alias("_deleted")
+        F.col("doc_id").alias(doc), F.col("key").alias(key), F.col("deleted").alias(deleted)
     )
     joined = docs.select(*columns, "text").join(
         copies,
-        F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64(text_or_empty()) == F.col("_key")),
+        F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64(text_or_empty()) == F.col(key)),
         "left",
     )
     parts = lines(F.col("text"))
-    n = F.size("_parts")
+    n = F.size(own_parts)
     # Between two deleted lines lies a kept stretch, which may be empty.
     stretches = F.zip_with(
-        F.concat(F.array(F.lit(-1)), "_deleted"),
-        F.concat("_deleted", F.array(n)),
+        F.concat(F.array(F.lit(-1)), deleted),
+        F.concat(deleted, F.array(n)),
         lambda a, b: F.struct((a + 2).alias("start"), (b - a - 1).alias("length")),
     )
-    kept = F.array_join(F.flatten(F.transform(stretches, lambda s: F.slice("_parts", s["start"], s["length"]))), "")
-    return joined.withColumn("_parts", parts).select(
+    kept = F.array_join(F.flatten(F.transform(stretches, lambda s: F.slice(own_parts, s["start"], s["length"]))), "")
+    return joined.withColumn(own_parts, parts).select(
         *columns,
-        F.when(F.col("_deleted").isNull(), F.col("text")).otherwise(kept).alias("text"),
-        F.size("_parts").cast("long").alias("n_lines"),
-        F.when(F.col("_deleted").isNull(), 0).otherwise(F.size("_deleted")).cast("long").alias("n_removed"),
+        F.when(F.col(deleted).isNull(), F.col("text")).otherwise(kept).alias("text"),
+        F.size(own_parts).cast("long").alias("n_lines"),
+        F.when(F.col(deleted).isNull(), 0).otherwise(F.size(deleted)).cast("long").alias("n_removed"),
     )

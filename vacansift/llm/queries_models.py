@@ -11,16 +11,21 @@ from vacansift.llm.shared import table
 
 
 def remainder(modulus: int):
-    """crc32 of the id as text, modulo: how rows are split into those to learn from and those held out."""
+    """crc32 of the id as text, modulo: how rows are split into those to learn from and those held out. Null for a null id."""
     return F.crc32(F.col("doc_id").cast("string")) % modulus
 
 
+def held_out(modulus: int, rest: int):
+    """Whether a row is never learned from. Rows without an id are held out."""
+    return F.coalesce(remainder(modulus) == rest, F.lit(True)).alias("held_out")
+
+
 @query("op3_language_id")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     prototypes = language_id.learn(docs.where(remainder(5) != 0))
     return language_id.predict(docs, prototypes).select(
-        "doc_id", (remainder(5) == 0).alias("held_out"), "lang_pred", "score"
+        "doc_id", held_out(5, 0), "lang_pred", "score"
     )
 
 
@@ -54,7 +59,7 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     net = quality.train(docs, table(spark, folder, "labels").where(remainder(3) != 1))
     return quality.score(docs.select("doc_id", "text"), net).select(
         "doc_id",
-        (remainder(3) == 1).alias("held_out"),
+        held_out(3, 1),
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )

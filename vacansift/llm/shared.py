@@ -2,29 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterable
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vacansift.session import new_folder
+from vacansift.session import written as saved
 from vacansift.sources.tables import table
 
-__all__ = ["ascii_lower", "place", "saved", "table", "text_or_empty", "thinned"]
+__all__ = ["ascii_lower", "place", "saved", "table", "text_or_empty", "thinned", "unused"]
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def saved(rows: DataFrame, name: str) -> DataFrame:
-    """Write rows below ``spark.checkpoint.dir`` and read them back.
-
-    Cuts the lineage: later jobs, and retries after a lost executor, read files instead of repeating the work. The
-    folder belongs to the cluster's scratch space, which its owner clears.
-    """
-    spark = rows.sparkSession
-    folder = new_folder(spark, name)
-    rows.write.parquet(folder)
-    return spark.read.schema(rows.schema).parquet(folder)
-
-
 def place(draw: Column) -> Column:
     """Where a row stands in the order that samples are drawn in: by the low bits of its draw (a 64-bit hash), then by the whole draw."""
     return F.struct(F.pmod(draw, F.lit(1 << 30)).alias("low"), draw.alias("draw"))
@@ -40,6 +30,18 @@ def thinned(draw: Column, found: int, most: int) -> Column:
     return F.pmod(draw, F.lit(1 << 30)) <= F.lit(int(share * (1 << 30)))
 
 
+def unused(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each lengthened until no column that is taken has it, whatever the case of its letters."""
+    known = {c.lower() for c in taken}
+    free = []
+    for name in names:
+        while name in known:
+            name = f"_{name}"
+        known.add(name)
+        free.append(name)
+    return free
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -47,7 +49,3 @@ def text_or_empty(column: str = "text") -> Column:
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, _UPPER, _UPPER.lower())
-
-
-def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    return table(spark, folder, "documents").select(*columns)

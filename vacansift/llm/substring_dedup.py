@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from vacansift.llm import word_hashes
 from vacansift.llm.arrow_text import pieces, utf8
 from vacansift.llm.fm_index import FMIndex, RangeMinimum
-from vacansift.llm.shared import saved, text_or_empty
+from vacansift.llm.shared import saved, text_or_empty, unused
 from vacansift.llm.word_hashes import combined, mixed
 
 WINDOW = 50
@@ -256,7 +256,7 @@ def removals(docs: DataFrame, shard_segments: int = SHARD_SEGMENTS) -> DataFrame
     return copies.unionByName(own).groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "end")).alias("stretches"))
 
 
-def _cut(columns: list[str]):
+def _cut(columns: list[str], found: str):
     names = [*columns, "text", "n_words", "n_removed", "kept_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +265,7 @@ def _cut(columns: list[str]):
                 texts, data = [], utf8(batch.column("text"))
                 _, start, end, bounds = word_hashes.words(*data)
                 counts, removed, digests = np.diff(bounds), [], []
-                for row, stretches in enumerate(batch.column("_stretches").to_pylist()):
+                for row, stretches in enumerate(batch.column(found).to_pylist()):
                     a, b = bounds[row], bounds[row + 1]
                     keep = np.ones(b - a, bool)
                     for s in stretches or ():
@@ -295,11 +295,12 @@ def dedup(docs: DataFrame, shard_segments: int = SHARD_SEGMENTS) -> DataFrame:
     """
     results = ("text", "n_words", "n_removed", "kept_sha256")
     columns = [c for c in docs.columns if c not in results]
+    doc, key, stretches = unused([*docs.columns, *results], "doc", "key", "stretches")
     found = removals(docs.select("doc_id", "text"), shard_segments).select(
-        F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), F.col("stretches").alias("_stretches")
+        F.col("doc_id").alias(doc), F.col("key").alias(key), F.col("stretches").alias(stretches)
     )
     joined = docs.select(*columns, "text").join(
-        found, (F.col("doc_id") == F.col("_doc")) & (F.hash(text_or_empty()) == F.col("_key")), "left"
+        found, (F.col("doc_id") == F.col(doc)) & (F.hash(text_or_empty()) == F.col(key)), "left"
     )
     schema = docs.select(*columns).schema.add("text", "string").add("n_words", "long").add("n_removed", "long")
-    return joined.select(*columns, "text", "_stretches").mapInArrow(_cut(columns), schema.add("kept_sha256", "string"))
+    return joined.select(*columns, "text", stretches).mapInArrow(_cut(columns, stretches), schema.add("kept_sha256", "string"))
