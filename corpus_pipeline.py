@@ -16,7 +16,7 @@ from vacansift.llm import decontaminate, jaccard_join, line_dedup, pieces, quali
 from vacansift.llm.queries_exact import is_contaminated
 from vacansift.llm.queries_models import remainder
 from vacansift.llm.queries_pieces import model_path
-from vacansift.llm.shared import saved, table, text_or_empty
+from vacansift.llm.shared import saved, table, text_or_empty, unused
 from vacansift.operators import collect
 
 
@@ -39,25 +39,26 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, folder: str) ->
     Rows that repeat an id and a text, null ids and blank texts included, are one document, of which the first row stays. A text without
     words links with nothing. Rows of one id with different texts are different documents.
     """
-    found = jaccard_join.members(docs).select(*_named(F.col("key")), "component")
-    place = ["_missing", "_id", "_key"]
+    *place, row = unused([*docs.columns, "component"], "missing", "id", "digest", "row_number")
+    found = jaccard_join.members(docs).select(*_named(F.col("key"), place), "component")
     linked = found.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(*place)).alias("first"))
     chosen = linked.select("first.*").unionByName(found.where("component IS NULL").select(*place)).distinct()
-    rows = docs.select("*", *_named(F.xxhash64(text_or_empty())), F.monotonically_increasing_id().alias("_row"))
-    return collect.first_seen(rows, place, ["_row"]).join(chosen, place, "left_semi").select(*docs.columns)
+    rows = docs.select("*", *_named(F.xxhash64(text_or_empty()), place), F.monotonically_increasing_id().alias(row))
+    return collect.first_seen(rows, place, [row]).join(chosen, place, "left_semi").select(*docs.columns)
 
 
-def _named(key: Column) -> list[Column]:
-    """Columns that tell documents apart, without nulls: _missing, _id, _key."""
+def _named(key: Column, names: list[str]) -> list[Column]:
+    """Columns that tell documents apart, without nulls: whether the id is missing, the id and a hash of the text."""
     doc_id = F.col("doc_id").cast("long")
-    return [doc_id.isNull().alias("_missing"), F.coalesce(doc_id, F.lit(0)).alias("_id"), key.alias("_key")]
+    return [c.alias(n) for c, n in zip((doc_id.isNull(), F.coalesce(doc_id, F.lit(0)), key), names, strict=True)]
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents of which less than a twentieth of the words stands in windows shared with benchmark items."""
     found = decontaminate.contamination(docs, table(spark, folder, "benchmark")).where(is_contaminated())
-    bad = found.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64(text_or_empty()) == F.col("_key"))
+    doc, key = unused(docs.columns, "doc", "digest")
+    bad = found.select(F.col("doc_id").alias(doc), F.col("key").alias(key))
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64(text_or_empty()) == F.col(key))
     return docs.join(bad, same, "left_anti").select(*docs.columns)
 
 
