@@ -430,6 +430,10 @@ def test_logged_scan_equals_a_scan_of_a_snapshot(spark, log):
     assert {r["source_url"] for r in matches.collect()} == {r["source_url"] for r in want.changes.where("is_new").collect()}
     assert metrics.first() == want.metrics.first() and metrics.first()["school_rejected"] > 0
     assert sorted(map(tuple, alerts.collect())) == sorted(map(tuple, want.alerts.collect()))
+    moved = reports.status_moved(reports.status_sums(store), changelog.logged(spark, log, 1))
+    assert reports.status_of(moved).collect() == reports.status_report(want.store).collect()
+    plan = moved._jdf.queryExecution().executedPlan().toString()
+    assert log.changes in plan and log.base not in plan
     after = sorted(map(repr, want.store.collect()))
     assert sorted(map(repr, changelog.current(spark, log).collect())) == after
     # Run again under its epoch, it leaves the same store; a second scan finds the marks of delivered alerts.
@@ -460,6 +464,14 @@ def test_logged_store_is_not_shuffled(spark, log, no_broadcast):
     assert "SortMergeJoin" in plan
 
 
+def test_lookup_reads_one_bucket(spark, log):
+    changelog.create(spark.createDataFrame([posting(f"u{i}") for i in range(40)], STORE), log)
+    changelog.append(spark.createDataFrame([posting("u7", score=77)], STORE).selectExpr("*", "false AS is_new", "true AS touched"), log, 0)
+    found = changelog.by_url(spark, log, "u7")
+    assert found._jdf.queryExecution().executedPlan().toString().count("SelectedBucketsCount: 1 out of 8") == 2
+    assert [r["score"] for r in found.collect()] == [77] and changelog.by_url(spark, log, "nowhere").isEmpty()
+
+
 def test_compacted_log(spark, log):
     changelog.create(spark.createDataFrame([posting("a"), posting("b")], STORE), log)
     changelog.append(spark.createDataFrame([posting("b", score=50), posting("c")], STORE).selectExpr("*", "source_url = 'c' AS is_new", "source_url = 'b' AS touched"), log, 0)

@@ -10,13 +10,13 @@ from vacansift.catalog import relations as R
 from vacansift.catalog import sql_rules as S
 from vacansift.catalog.registry import query, sql_stamp, stamp
 from vacansift.catalog.scoring_queries import DETAILS_SQL
-from vacansift.operators import changelog, children, collect, outbox, scoring
+from vacansift.operators import changelog, children, collect, outbox, reports, scoring
 from vacansift.operators import store as stores
 from vacansift.plans import digest, maintain, scan
 from vacansift.schemas import STORE
 from vacansift.session import new_folder, written
 from vacansift.sources import details as detail_pages
-from vacansift.sources.tables import by_url, surrogate_id, table
+from vacansift.sources.tables import surrogate_id, table
 
 DAY = R.AS_OF
 NOW = f"{R.SQL_DAY}::TIMESTAMP"
@@ -310,6 +310,22 @@ def digest_logged(spark: SparkSession, folder: str) -> DataFrame:
     return changelog.current(spark, log).select("source_url", "digested", stamp("updated_at"))
 
 
+@query(
+    "status_after_changes",
+    f"""WITH {SCAN_SQL}, after AS (SELECT m.*, CASE WHEN m.in_store THEN s.digested ELSE false END AS digested
+      FROM merged m LEFT JOIN store s ON s.source_url = m.source_url)
+    SELECT count(*) AS total_jobs, count(*) FILTER (WHERE sent) AS alerts_sent, count(*) FILTER (WHERE tier = 'strong') AS strong_jobs,
+      count(*) FILTER (WHERE tier = 'strong' AND NOT sent) AS strong_unsent, count(*) FILTER (WHERE digested = false) AS digest_queue,
+      round(avg(score), 4) AS average_score FROM after""",
+)
+def status_after_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """The status report after a scan, from the sums before it and the rows it logged."""
+    log = new_log(R.store(spark, folder))
+    before = written(reports.status_sums(spark.table(log.base)), "status")
+    scan.run_logged(R.postings(spark, folder), log, 0, detail_pages.parse(R.details(spark, folder)), DAY)
+    return reports.status_of(reports.status_moved(before, changelog.logged(spark, log, 1)))
+
+
 def _toggled(flag: str, wanted: str) -> str:
     return (
         f"SELECT source_url, arg_max(value, (moment, command_id)) AS value, arg_max(moment, (moment, command_id)) AS moment "
@@ -500,9 +516,7 @@ def surrogate_ids(spark: SparkSession, folder: str) -> DataFrame:
     WHERE source_url = (SELECT max(source_url) FROM store)""",
 )
 def lookup_by_url(spark: SparkSession, folder: str) -> DataFrame:
-    """The posting with one URL, found in a written snapshot by an equality that reaches its scan."""
-    path = new_folder(spark, "snapshot")
-    rows = R.full_store(spark, folder)
-    stores.write_snapshot(rows, path)
-    url = rows.agg(F.max("source_url")).first()[0]
-    return by_url(stores.read_snapshot(spark, path), url).select("source_url", "title", "score")
+    """The posting with one URL, from its bucket of a store and of its log."""
+    log = new_log(R.full_store(spark, folder))
+    url = spark.table(log.base).agg(F.max("source_url")).first()[0]
+    return changelog.by_url(spark, log, url).select("source_url", "title", "score")

@@ -148,6 +148,36 @@ def status_report(store: DataFrame) -> DataFrame:
     )
 
 
+_STATUS = ("total_jobs", "alerts_sent", "strong_jobs", "strong_unsent", "digest_queue")
+
+
+def status_sums(rows: DataFrame) -> DataFrame:
+    """What ``status_report`` is made of, as sums that can be added and taken off; one row."""
+    strong = F.col("tier") == "strong"
+    return rows.agg(
+        F.count(F.lit(1)).alias("total_jobs"),
+        F.count_if(F.col("telegram_sent")).alias("alerts_sent"),
+        F.count_if(strong).alias("strong_jobs"),
+        F.count_if(strong & ~F.col("telegram_sent")).alias("strong_unsent"),
+        F.count_if(F.col("digested") == F.lit(False)).alias("digest_queue"),
+        F.coalesce(F.sum(F.col("score").cast("long")), F.lit(0)).alias("points"),
+        F.count("score").alias("scored"),
+    )
+
+
+def status_moved(sums: DataFrame, logged: DataFrame) -> DataFrame:
+    """Sums after a scan, from those before it and the rows it logged: new versions are added, the versions they replace taken off."""
+    replaced = status_sums(logged.where("old IS NOT NULL").select("old.*"))
+    parts = sums.unionByName(status_sums(logged)).unionByName(replaced.select(*[(-F.col(c)).alias(c) for c in replaced.columns]))
+    return parts.agg(*[F.sum(c).alias(c) for c in parts.columns])
+
+
+def status_of(sums: DataFrame) -> DataFrame:
+    """The report from its sums."""
+    average = F.round(F.col("points") / F.nullif(F.col("scored"), F.lit(0)), 4)
+    return sums.select(*_STATUS, average.alias("average_score"))
+
+
 def strong_by_state(store: DataFrame) -> DataFrame:
     return (
         store.where(F.col("tier") == "strong")

@@ -95,6 +95,10 @@ def merge_listed(versions: Sequence[DataFrame], batch: DataFrame, as_of: dt.date
     return _outcomes(both.withColumn("s", F.coalesce(*places)).drop(*places), as_of)
 
 
+#: Fields of the replaced version that are kept beside a changed row, for reports that are kept up by changes.
+REPORTED = ("score", "tier", "telegram_sent", "digested")
+
+
 def _stored(store: DataFrame) -> DataFrame:
     return store.select("source_url", F.struct(*[c for c in STORE.names if c != "source_url"]).alias("s"))
 
@@ -138,9 +142,14 @@ def _outcomes(both: DataFrame, as_of: dt.date | Column) -> DataFrame:
         F.col("first_rank"),
         F.col("latest"),
         in_store.alias("in_store"),
+        _replaced().alias("old"),
     )
 
 
+def _replaced() -> Column:
+    return F.when(F.col("s").isNotNull(), F.struct(*[F.col(f"s.{c}").alias(c) for c in REPORTED]))
+
+
 def upsert(
     store: DataFrame, rows: DataFrame, as_of: dt.date | Column, order: Sequence[str]
 ) -> DataFrame:
@@ -165,8 +174,8 @@ def upsert_changes(
 
 
 def changed(outcomes: DataFrame) -> DataFrame:
-    """The rows of a merge that differ from the store, in the store's columns, with ``is_new`` and ``touched``."""
-    return outcomes.where(F.col("is_new") | F.col("touched")).select(*STORE.names, "is_new", "touched")
+    """The rows of a merge that differ from the store, in the store's columns, with ``is_new``, ``touched`` and some fields of the ``old`` version."""
+    return outcomes.where(F.col("is_new") | F.col("touched")).select(*STORE.names, "is_new", "touched", "old")
 
 
 def mark(
@@ -193,9 +202,9 @@ def marked_changes(versions: Sequence[DataFrame], urls: DataFrame, flag: str, as
     for place, version in enumerate(versions):
         both = both.join(_stored(version).withColumnRenamed("s", f"s{place}"), "source_url", "left")
     row = F.coalesce(*[f"s{place}" for place in range(len(versions))])
-    rows = both.select("source_url", row.alias("s")).where("s IS NOT NULL").select("source_url", "s.*")
+    rows = both.select("source_url", row.alias("s")).where("s IS NOT NULL").select("source_url", "s.*", _replaced().alias("old"))
     new = rows.where(~F.coalesce(F.col(flag), F.lit(False))).withColumns({flag: F.lit(True), "updated_at": moment(as_of)})
-    return new.select(*STORE.names, F.lit(False).alias("is_new"), F.lit(False).alias("touched"))
+    return new.select(*STORE.names, F.lit(False).alias("is_new"), F.lit(False).alias("touched"), "old")
 
 
 def toggle(store: DataFrame, commands: DataFrame, flag: str) -> DataFrame:
