@@ -5,9 +5,10 @@ documents, such sets share at least L tokens among their first ``n - ceil(0.8 n)
 documents, so that shingles of common passages come last. For each document L is chosen by cost: a longer prefix is one more posting,
 but asks for one more common token, which bounds the candidates by the sum of the tokens' counts over L. A pair is counted at the smaller L of both.
 
-Copies (equal sets) are reduced to one representative first. Groups of near copies are joined up by stars: in each round the first document of
-a token's list meets one document of every other component in it, and verified pairs merge components. At last all pairs of documents that
-are still in different components and share enough prefix tokens are verified, which makes the components exact; pairs inside a component are never made.
+Copies (equal sets) are reduced to one representative first. Each node is compared with one head, the most shared document of the lists that it shares
+most tokens of; nodes near their head, and heads near theirs, are a family. Families are looked through in blocks, so pairs inside one are never rows.
+At last families that share enough prefix tokens are paired, one row per token and family, and those pairs that may still hold a link between different
+components are compared in blocks as well, which makes the components exact.
 """
 
 from __future__ import annotations
@@ -36,10 +37,10 @@ MOST_MATCHES = 24
 SKETCH_BITS, _BLOCK = 21, 1 << 16
 #: Bits of the filter that says whose sets to write; a full filter only means writing more sets.
 FILTER_BITS = 24
-#: Rounds of stars before all remaining pairs are made. It changes the work, not the result.
-STAR_ROUNDS = 2
-#: Sets per block when the pairs of a family are looked through.
-BLOCK = 256
+#: Similarity, as SHARE, from which a node belongs to the family of its head. It changes the work, not the result.
+FAMILY_SHARE = 50
+#: Sets and tokens per block when the pairs of a family are looked through.
+BLOCK, BLOCK_TOKENS = 256, 1 << 20
 
 
 def shingle_sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -188,69 +189,68 @@ def _sets(docs: DataFrame, active: DataFrame) -> DataFrame:
     return saved(docs.select("text").mapInArrow(run, "node long, tokens binary"), "sets")
 
 
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = []
+        similar, near = [], []
         for a, b in zip(batch.column("tokens_a"), batch.column("tokens_b"), strict=True):
             x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
             shared = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(shared * PARTS >= (len(x) + len(y) - shared) * SHARE)
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            union = len(x) + len(y) - shared
+            similar.append(shared * PARTS >= union * SHARE)
+            near.append(shared * PARTS >= union * FAMILY_SHARE)
+        columns = [batch.column("a"), batch.column("b"), pa.array(similar, pa.bool_()), pa.array(near, pa.bool_())]
+        yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "similar", "near"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, written."""
-    a = sets.groupBy(F.col("node").alias("a")).agg(F.first("tokens").alias("tokens_a"))  # a copy from each task
-    b = sets.groupBy(F.col("node").alias("b")).agg(F.first("tokens").alias("tokens_b"))
-    return saved(pairs.join(a, "a").join(b, "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(_similar, "a long, b long"), "links")
+def _unique_sets(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One set of each of the ``nodes``; tasks may have written copies."""
+    return sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens"))
 
 
-def _fits(n_a: Column, n_b: Column) -> Column:
-    return (n_a * PARTS >= n_b * SHARE) & (n_b * PARTS >= n_a * SHARE)
-
-
-def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Postings with ``component``, only of tokens that still occur in more than one. ``labels``: node, label."""
-    if labels is None:
-        labelled = postings.withColumn("component", F.col("node"))
-    else:
-        labelled = postings.join(labels, "node", "left").withColumn("component", F.coalesce("label", "node")).drop("label")
-    mixed = (
-        labelled.groupBy("token")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .where("low <> high")
-        .select("token")
-    )
-    return saved(labelled.join(mixed, "token"), "labelled")
+def _star_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with whether their sets are similar, and near enough for one family; written."""
+    heads = _unique_sets(sets, pairs.select(F.col("b").alias("node")).distinct())
+    members = _unique_sets(sets, pairs.select(F.col("a").alias("node")))
+    a = members.select(F.col("node").alias("a"), F.col("tokens").alias("tokens_a"))
+    b = heads.select(F.col("node").alias("b"), F.col("tokens").alias("tokens_b"))
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", "tokens_a", "tokens_b")
+    return saved(both.mapInArrow(_compared, "a long, b long, similar boolean, near boolean"), "links")
 
 
-def _first_labels(links: DataFrame) -> DataFrame:
-    """Each node with its smallest linked node below it. These are parts of components, which is all a round of stars needs."""
-    return (
-        links.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("label"))
-        .groupBy("node")
-        .agg(F.min("label").alias("label"))
-    )
+def _fits(n_a: Column, n_b: Column) -> Column:
+    return (n_a * PARTS >= n_b * SHARE) & (n_b * PARTS >= n_a * SHARE)
 
 
-def _star_pairs(labelled: DataFrame, turn: int) -> DataFrame:
-    """For each node that a token's list shows beside the list's head: the head that it shares most lists with.
+def _star_pairs(postings: DataFrame) -> DataFrame:
+    """For each node the head that it shares most tokens with: a, b. At most one pair per node.
 
-    In the first round the head is the node whose prefix is shared most, later one drawn by a hash. At most one pair per node.
+    The head of a token's list is the node whose prefix is shared most, so heads of heads come to an end.
     """
-    draw = F.xxhash64("node", F.lit(turn)) if turn else -F.col("lead")
-    order = F.struct(draw.alias("draw"), "node", "n", "component")
-    ends = labelled.groupBy("token", F.col("component").alias("of")).agg(F.min(order).alias("end"))
-    heads = ends.groupBy("token").agg(F.min("end").alias("head"))
+    order = F.struct((-F.col("lead")).alias("draw"), "node", "n")
+    heads = postings.groupBy("token").agg(F.min(order).alias("head"))
     met = (
-        ends.join(heads, "token")
-        .where((F.col("end.component") != F.col("head.component")) & _fits(F.col("end.n"), F.col("head.n")))
-        .groupBy(F.col("end.node").alias("a"), F.col("head.node").alias("b"))
+        postings.join(heads, "token")
+        .where((F.col("node") != F.col("head.node")) & _fits(F.col("n"), F.col("head.n")))
+        .groupBy(F.col("node").alias("a"), F.col("head.node").alias("b"))
         .agg(F.count("*").alias("shared"))
     )
     return met.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
 
 
+def _families(near: DataFrame) -> DataFrame:
+    """node, family: where each node's chain of heads ends, for all nodes but these ends. ``near``: pairs (a, b) of a node and its head.
+
+    Chains are halved each round, and every round is written.
+    """
+    hops = saved(near.select(F.col("a").alias("node"), F.col("b").alias("family")), "families")
+    while True:
+        further = hops.select(F.col("node").alias("family"), F.col("family").alias("end"))
+        followed = hops.join(further, "family", "left")
+        if followed.where("end IS NOT NULL").isEmpty():
+            return hops
+        hops = saved(followed.select("node", F.coalesce("end", "family").alias("family")), "families")
+
+
 def _block_links(table: pa.Table) -> pa.Table:
     """Links between different components among the sets of one or two blocks, one for each pair of components.
 
@@ -274,49 +274,101 @@ def _block_links(table: pa.Table) -> pa.Table:
     return pa.table({"a": node[x[first]], "b": node[y[first]]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 
-def _family_links(labelled: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links inside families (nodes with one head) that are still in several components.
+def _blocks() -> Column:
+    """Blocks for a group of sets, by their number and by their tokens."""
+    return F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_TOKENS)).alias("blocks")
+
+
+def _compared_blocks(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links among the sets that meet in a task. ``rows``: family, i, j (the task), node, component."""
+    rows = saved(rows, "blocks")
+    met = rows.join(_unique_sets(sets, rows.select("node").distinct()), "node")
+    return saved(met.groupBy("family", "i", "j").applyInArrow(_block_links, "a long, b long"), "links")
 
-    Pairs are never rows: a family is cut into blocks of about ``BLOCK`` sets, and a task gets two blocks.
+
+def _own(blocks: str = "blocks") -> Column:
+    return F.expr(f"pmod(xxhash64(node, 7), {blocks})")
+
+
+def _family_links(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links inside families that are still in several components. ``nodes``: node, n, component, family.
+
+    Pairs are never rows: a family is cut into blocks of about ``BLOCK`` sets or ``BLOCK_TOKENS`` tokens, and a task gets two blocks.
     """
-    nodes = labelled.select("node", "component", "family").distinct()
     split = (
         nodes.groupBy("family")
-        .agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+        .agg(_blocks(), F.min("component").alias("low"), F.max("component").alias("high"))
         .where("low <> high")
-        .select("family", F.ceil(F.col("size") / BLOCK).alias("blocks"))
+        .select("family", "blocks")
     )
-    placed = nodes.join(split, "family").withColumn("own", F.expr("pmod(xxhash64(node, 7), blocks)"))
-    unique = sets.groupBy("node").agg(F.first("tokens").alias("tokens"))
-    rows = placed.join(unique, "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    pairs = rows.select(
-        "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component", "tokens"
+    placed = nodes.join(split, "family").withColumn("own", _own())
+    rows = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return _compared_blocks(
+        rows.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component"), sets
     )
-    return saved(pairs.groupBy("family", "i", "j").applyInArrow(_block_links, "a long, b long"), "links")
 
 
-def _rest_pairs(labelled: DataFrame) -> DataFrame:
-    """Every pair of nodes in different components and families that shares enough prefix tokens."""
-    names = ("node", "n", "matches", "level", "component", "family")
-    left = labelled.select("token", *[F.col(c).alias(f"{c}_a") for c in names])
-    right = labelled.select("token", *[F.col(c).alias(f"{c}_b") for c in names])
-    matches = F.least("matches_a", "matches_b")
+def _family_pairs(postings: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs of families (a, b) that may hold linked nodes of different components.
+
+    A link between them shares as many prefix tokens as the smaller of its two nodes' matches, at levels within it; so do the families, with the least
+    matches and levels of their nodes. Nodes of one family are one row per token, so that a group of near copies doesn't pair with itself.
+    """
+    rows = postings.join(nodes.select("node", "component", "family"), "node")
+    lists = saved(
+        rows.groupBy("token", "family").agg(
+            F.min("n").alias("n_low"),
+            F.max("n").alias("n_high"),
+            F.min("matches").alias("least"),
+            F.max("matches").alias("most"),
+            F.min("level").alias("level"),
+            F.min("component").alias("low"),
+            F.max("component").alias("high"),
+        ),
+        "family-tokens",
+    )
+    mixed = lists.groupBy("token").agg(F.min("low").alias("first"), F.max("high").alias("last"), F.count("*").alias("families"))
+    lists = lists.join(mixed.where("families > 1 AND first <> last").select("token"), "token", "left_semi")
+    left, right = (lists.select("token", *[F.col(c).alias(f"{c}_{s}") for c in lists.columns[1:]]) for s in "ab")
+    least = F.least("least_a", "least_b")
     return (
         left.join(right, "token")
         .where(
-            (F.col("node_a") < F.col("node_b"))
-            & (F.col("component_a") != F.col("component_b"))
-            & (F.col("family_a") != F.col("family_b"))
-            & _fits(F.col("n_a"), F.col("n_b"))
-            & (F.greatest("level_a", "level_b") <= matches)
+            (F.col("family_a") < F.col("family_b"))
+            & ((F.col("low_a") != F.col("high_b")) | (F.col("high_a") != F.col("low_b")))
+            & (F.col("n_high_a") * PARTS >= F.col("n_low_b") * SHARE)
+            & (F.col("n_high_b") * PARTS >= F.col("n_low_a") * SHARE)
+            & (F.col("level_a") <= F.col("most_b"))
+            & (F.col("level_b") <= F.col("most_a"))
         )
-        .groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-        .agg(F.count("*").alias("shared"), F.min(matches).alias("matches"))
-        .where("shared >= matches")
+        .groupBy(F.col("family_a").alias("a"), F.col("family_b").alias("b"))
+        .agg(F.count("*").alias("shared"), F.min(least).alias("least"))
+        .where("shared >= least")
         .select("a", "b")
     )
 
 
+def _partner_links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between the families of the ``pairs``. The larger family of a pair meets all its smaller partners' nodes together, in blocks as above."""
+    sizes = saved(nodes.groupBy("family").agg(F.count("*").alias("size"), _blocks()), "sizes")
+    a = sizes.select(F.col("family").alias("a"), F.struct("size", F.col("family").alias("id")).alias("of_a"))
+    b = sizes.select(F.col("family").alias("b"), F.struct("size", F.col("family").alias("id")).alias("of_b"))
+    ranked = saved(
+        pairs.join(a, "a").join(b, "b").select(F.greatest("of_a", "of_b")["id"].alias("owner"), F.least("of_a", "of_b")["id"].alias("family")),
+        "family-pairs",
+    )
+    guests = ranked.join(nodes, "family").select("owner", "node", "n", "component")
+    packs = guests.groupBy("owner").agg(_blocks().alias("packs"))
+    owners = packs.join(sizes.select(F.col("family").alias("owner"), "blocks"), "owner")
+    hosts = owners.join(nodes.withColumnRenamed("family", "owner"), "owner")
+    every = "explode(sequence(0L, {} - 1))"
+    host_rows = hosts.select(F.col("owner").alias("family"), _own().alias("i"), F.expr(every.format("packs")).alias("j"), "node", "component")
+    guest_rows = guests.join(owners, "owner").select(
+        F.col("owner").alias("family"), F.expr(every.format("blocks")).alias("i"), _own("packs").alias("j"), "node", "component"
+    )
+    return _compared_blocks(host_rows.unionByName(guest_rows), sets)
+
+
 def _shared_only(postings: DataFrame) -> DataFrame:
     """Postings of tokens in more than one node, of nodes that can reach the matches some partner asks for."""
     token = Window.partitionBy("token")
@@ -341,6 +393,10 @@ def _shared_only(postings: DataFrame) -> DataFrame:
     )
 
 
+def _with_component(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    return nodes.join(labels, "node", "left").withColumn("component", F.coalesce("label", "node")).drop("label")
+
+
 def join(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included).
 
@@ -365,22 +421,15 @@ def members(docs: DataFrame) -> DataFrame:
         )
     )
     sets = _sets(rows, postings.select("node").distinct())
-    pairs = saved(_star_pairs(_labelled(postings, None), 0), "star-pairs")
-    links = _verified(pairs, sets)
-    families = pairs.select("a", F.col("b").alias("family"))
-    heads = pairs.select(F.col("b").alias("a")).distinct().withColumn("family", F.col("a"))
-    families = families.unionByName(heads).groupBy("a").agg(F.max(F.struct(F.col("family") == F.col("a"), "family")).alias("f"))
-    postings = saved(
-        postings.join(families, F.col("node") == F.col("a"), "left")
-        .withColumn("family", F.coalesce("f.family", "node"))
-        .drop("a", "f"),
-        "postings",
-    )
-    for turn in range(1, STAR_ROUNDS):
-        links = links.unionByName(_verified(_star_pairs(_labelled(postings, _first_labels(links)), turn), sets))
-    links = links.unionByName(_family_links(_labelled(postings, components(links)), sets))
+    stars = _star_links(saved(_star_pairs(postings), "star-pairs"), sets)
+    links = stars.where("similar").select("a", "b")
+    families = _families(stars.where("near"))
+    nodes = postings.select("node", "n").distinct().join(families, "node", "left")
+    nodes = saved(nodes.withColumn("family", F.coalesce("family", "node")), "nodes")
+    links = links.unionByName(_family_links(_with_component(nodes, components(links)), sets))
     labels = components(links)
-    rest = _verified(_rest_pairs(_labelled(postings, labels)), sets)
+    nodes = saved(_with_component(nodes, labels), "nodes")
+    rest = _partner_links(_family_pairs(postings, nodes), nodes, sets)
     # What was joined up enters as one link from each node to its label.
     stars = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
     labels = components(stars.unionByName(rest))
