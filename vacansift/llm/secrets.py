@@ -2,8 +2,10 @@
 
 The field tags tokens as outside, begin or inside of a secret. A token's emission adds learned weights of its shape (length, kinds of characters,
 changes between them), of the words around it and of the file (how much of it looks like settings); transitions are learned too.
-It is trained on the driver on windows of a bounded sample, labelled by the fixed patterns, with neighbours masked at random so that
-shape and surroundings each carry weight; it then finds values that the patterns miss.
+It is trained on the driver on windows of a bounded sample, labelled by the fixed patterns, and on copies of these windows in which another
+key or none stands before another kind of random value, or an ordinary word, number, date, address or name stands in its place. Neighbours and file
+features are masked at random, so that shape and surroundings each carry weight. Tokens of the sample that look like values but match no
+pattern are left out of the training, since they may be just what the patterns miss: values of other keys, of other alphabets, without a key.
 
 Decoding is Viterbi. A token whose lead for "outside" exceeds anything transitions could give is outside in every best path, so whole
 texts are decoded exactly by solving only the stretches between such tokens, all stretches of a batch together.
@@ -11,7 +13,9 @@ texts are decoded exactly by solving only the stretches between such tokens, all
 
 from __future__ import annotations
 
+import random
 import re
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,7 +36,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "crf")
 
 OUT, BEGIN, INSIDE = range(3)
-_SHAPES, _WORDS, _FILES = 8 * 8 * 3 * 2 * 3, 4096, 16
+_SHAPES, _WORDS, _FILES = 8 * 8 * 3 * 2 * 3 * 3, 4096, 16
 _AROUND = (-4, -3, -2, -1, 1, 2)
 
 SPANS = "array<struct<kind:string,start:long,end:long>>"
@@ -69,6 +73,8 @@ _LOWER = _one_hot("abcdefghijklmnopqrstuvwxyz")
 _UPPER = _one_hot("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _DIGIT = _one_hot("0123456789")
 _HEX = _one_hot("0123456789abcdef")
+_JOIN = _one_hot("./-")
+_UNDER = _one_hot("_+")
 _FOLD = np.arange(256) + 32 * _UPPER
 _MIX = np.random.default_rng(4).integers(1, 1 << 62, (16, 256), dtype=np.uint64)
 
@@ -111,7 +117,8 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     kinds = (lower > 0) * 4 + (upper > 0) * 2 + (digit > 0)
     share = np.where(digit == 0, 0, np.where(digit * 2 < length, 1, 2))
     turn = np.searchsorted([1, 3], changes, "right")
-    shape = (((size * 8 + kinds) * 3 + share) * 2 + (hexa == length)) * 3 + turn
+    joined = np.where(total(_JOIN[signs]) > 0, 2, total(_UNDER[signs]) > 0)
+    shape = ((((size * 8 + kinds) * 3 + share) * 2 + (hexa == length)) * 3 + turn) * 3 + joined
     mixed = np.add.reduceat(_MIX[within & 15, _FOLD[signs]], at)
     word = ((mixed ^ (mixed >> np.uint64(29))) % np.uint64(_WORDS)).astype(np.int64)
     text = np.searchsorted(offsets, start, "right") - 1
@@ -198,6 +205,26 @@ def viterbi(field: Field, found: Tokens) -> np.ndarray:
     return tags
 
 
+def marginals(emissions: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Chance of each tag at each place of each window (forward and backward sums, scaled at every place), and expected counts of tag pairs."""
+    near = np.exp(emissions - emissions.max(axis=2, keepdims=True), dtype=np.float64)
+    moves = np.exp(transitions, dtype=np.float64)
+    length = near.shape[1]
+    forward, backward = near.copy(), np.ones_like(near)
+    for k in range(1, length):
+        forward[:, k] *= forward[:, k - 1] @ moves
+        forward[:, k] /= forward[:, k].sum(axis=1, keepdims=True)
+    for k in range(length - 2, -1, -1):
+        backward[:, k] = (near[:, k + 1] * backward[:, k + 1]) @ moves.T
+        backward[:, k] /= backward[:, k].sum(axis=1, keepdims=True)
+    chances = forward * backward
+    chances /= chances.sum(axis=2, keepdims=True)
+    left, right = forward[:, :-1], (near * backward)[:, 1:]
+    whole = ((left @ moves) * right).sum(axis=2, keepdims=True)
+    both = moves * ((left / whole).reshape(-1, 3).T @ right.reshape(-1, 3))
+    return chances, both
+
+
 def _fit(features: list[np.ndarray], tags: np.ndarray, steps: int = 150, rate: float = 0.15, decay: float = 2e-4) -> Field:
     """Maximise the likelihood of windows of equal length by Adam. features: shape, file and each neighbour, (window, place)."""
     field = Field.fresh()
@@ -210,23 +237,14 @@ def _fit(features: list[np.ndarray], tags: np.ndarray, steps: int = 150, rate: f
     for step in range(1, steps + 1):
         hidden = rng.random((len(features) - 2, windows)) < 0.25
         around = [np.where(h[:, None], _WORDS, f) for h, f in zip(hidden, features[2:], strict=True)]
-        e = field.shape[features[0]] + field.file[features[1]]
+        file = np.where(rng.random((windows, 1)) < 0.5, rng.integers(0, _FILES, (windows, 1)), features[1])
+        e = field.shape[features[0]] + field.file[file]
         for place, f in enumerate(around):
             e = e + field.around[place][f]
-        t = field.transitions
-        forward, backward = np.empty_like(e), np.zeros_like(e)
-        forward[:, 0] = e[:, 0]
-        for k in range(1, length):
-            forward[:, k] = np.logaddexp.reduce(forward[:, k - 1, :, None] + t, axis=1) + e[:, k]
-        for k in range(length - 2, -1, -1):
-            backward[:, k] = np.logaddexp.reduce(t + (e[:, k + 1] + backward[:, k + 1])[:, None, :], axis=2)
-        norm = np.logaddexp.reduce(forward[:, -1], axis=1)[:, None]
-        wrong = truth - np.exp(forward + backward - norm[:, None])
-        both = np.exp(
-            forward[:, :-1, :, None] + t + (e[:, 1:] + backward[:, 1:])[:, :, None, :] - norm[:, :, None, None]
-        ).sum(axis=(0, 1))
+        chances, both = marginals(e, field.transitions)
+        wrong = truth - chances
         flat = wrong.reshape(-1, 3)
-        tables = [(features[0], _SHAPES), *[(f, _WORDS + 1) for f in around], (features[1], _FILES)]
+        tables = [(features[0], _SHAPES), *[(f, _WORDS + 1) for f in around], (file, _FILES)]
         sums = [np.stack([np.bincount(f.ravel(), flat[:, k], minlength=n) for k in range(3)], axis=1) for f, n in tables]
         gradients = [sums[0], np.stack(sums[1:-1]), sums[-1], pairs - both]
         for w, g, (m, v) in zip(field.weights(), gradients, moments, strict=True):
@@ -237,41 +255,123 @@ def _fit(features: list[np.ndarray], tags: np.ndarray, steps: int = 150, rate: f
     return field
 
 
-def fit(texts: list[str], reach: int = 12, plain_per_text: int = 2) -> Field:
-    """Train on windows around the fixed patterns' values and on others without any."""
-    if not texts:
+def _random_value(rng: random.Random) -> str:
+    """A value as generators of keys make them: one alphabet, both letters and digits, sometimes a prefix or padding."""
+    letters, digits = string.ascii_letters, string.digits
+    alphabet, least, most = rng.choice(
+        [
+            ("0123456789abcdef", 20, 64),
+            ("0123456789ABCDEF", 20, 64),
+            (letters + digits, 14, 48),
+            (letters + digits, 14, 48),
+            (string.ascii_lowercase + digits, 16, 40),
+            (string.ascii_uppercase + digits, 14, 40),
+            (letters + digits + "+/", 24, 64),
+            (letters + digits + "-_", 24, 48),
+        ]
+    )
+    body = "".join(rng.choice(alphabet) for _ in range(rng.randint(least, most) - 4))
+    kept = [c for c in alphabet if c.isalpha()]
+    value = f"{rng.choice(kept)}{rng.choice(digits)}{body}{rng.choice(digits)}{rng.choice(kept)}"
+    if rng.random() < 0.35:
+        value = "".join(rng.choices(string.ascii_lowercase, k=rng.randint(2, 4))) + rng.choice("_-") + value
+    return value
+
+
+def _random_plain(rng: random.Random, words: list[str]) -> str:
+    """Something ordinary that may stand where a value does."""
+    word, other = (rng.choice(words).strip(string.punctuation).lower() or "word" for _ in range(2))
+    n, m = rng.randint(0, 99), rng.randint(1, 12)
+    return rng.choice(
+        [
+            word,
+            word.capitalize() + other.capitalize() + str(n),
+            word.upper(),
+            f"{word}_{other}_{n}",
+            f"{word.upper()}_{other.upper()}",
+            f"{word}-{other}",
+            str(rng.randint(0, 10 ** rng.randint(1, 16))),
+            f"20{n:02}-{m:02}-{m + 9:02}",
+            f"20{n:02}-{m:02}-{m + 9:02}T{m:02}:{n % 60:02}:00Z",
+            f"+{m}-{n:02}-{rng.randint(100, 999)}-{rng.randint(1000, 9999)}",
+            f"{m}.{n}.{m + 1}",
+            f"{word}.{n}@{other}{m}.example.com",
+            f"https://www.{word}{m}.org/20{n:02}/{other}-{n}/{word}.html",
+            f"{word}/{other}/{word}{n}.txt",
+            f"{word}{n}",
+        ]
+    )
+
+
+def _made(rng: random.Random, words: list[str], key: str, secret: bool) -> tuple[str, int, int]:
+    """A short text around a random value or something ordinary, and where that stands."""
+    value = _random_value(rng) if secret else _random_plain(rng, words)
+    name = rng.choice([key, rng.choice(words), "".join(rng.choices(string.ascii_lowercase, k=rng.randint(3, 12)))])
+    link = rng.choice([" = ", "=", ": ", ":", " ", " is ", " := "])
+    quote = rng.choice(["", "", '"', "'"])
+    before = rng.choices(words, k=rng.choice([0, 3, 14])) + ([] if rng.random() < 0.3 else [name + link.rstrip(" ")])
+    lead = " ".join(before) + ("" if link in ("=", ":") else " ") + quote
+    after = quote + rng.choice(["", ".", "\n", ","]) + " " + " ".join(rng.choices(words, k=rng.choice([0, 3, 14])))
+    return lead + value + after, len(lead), len(lead) + len(value)
+
+
+def fit(texts: list[str], reach: int = 6, plain_per_text: int = 3, made: int = 6) -> Field:
+    """Train on windows around the fixed patterns' values and on others without any, on ``made`` windows with a random value and twice as many
+    with something ordinary for each of them (at least 800 and at most 2,400 with a value)."""
+    keys = [m[1] for t in texts for m in ASSIGN.finditer(t)]
+    words = [w for t in texts for w in t[:2_000].split()[:40] if len(w) < 30 and not base_spans(w)]
+    matched = sum(bool(base_spans(t)) for t in texts)
+    if not matched or not words:
         return Field.fresh()
-    rng = np.random.default_rng(5)
-    raw = [t.encode() for t in texts]
+    rng, chance = np.random.default_rng(5), random.Random(5)
+    count = min(max(made * matched, 800), 2_400) if made else 0
+    extra = [_made(chance, words, chance.choice(keys or ["key"]), k < count) for k in range(3 * count)]
+    raw = [t.encode() for t in [*texts, *(t for t, _, _ in extra)]]
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
     found = tokens(np.frombuffer(b"".join(raw), np.uint8), offsets)
     tags = np.zeros(len(found.start), np.int64)
     centres: list[int] = []
+
+    def covered(k: int, text: str, a: int, b: int) -> tuple[int, int]:
+        first = offsets[k] + len(text[:a].encode())
+        i, j = np.searchsorted(found.start, [first, first + len(text[a:b].encode())])
+        return int(i), int(j)
+
     for k, text in enumerate(texts):
         values = [m.span(2) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
         values += [(a, b) for kind, a, b in base_spans(text) if kind != "assign"]
         for a, b in sorted(values):
-            first = offsets[k] + len(text[:a].encode())
-            i, j = np.searchsorted(found.start, [first, first + len(text[a:b].encode())])
+            i, j = covered(k, text, a, b)
             if i < j and not tags[i:j].any():
                 tags[i:j] = INSIDE
                 tags[i] = BEGIN
-                centres.append(int(i))
-        own = np.flatnonzero(found.text == k) if plain_per_text else []
-        if len(own):
-            centres += rng.choice(own, plain_per_text).tolist()
-    if not tags.any():
-        return Field.fresh()
+                centres.append(i)
+    for k, (text, a, b) in enumerate(extra):
+        i, j = covered(len(texts) + k, text, a, b)
+        if i < j and k < count:
+            tags[i:j] = INSIDE
+            tags[i] = BEGIN
+        centres.append(i)
+    starts = np.searchsorted(found.text, np.arange(len(texts) + 1))
+    # A token without a match that looks like values and like nothing ordinary may be a value: it counts for neither.
+    made_plain = (found.text >= len(texts)) & (tags == 0)
+    doubtful = (tags == 0) & np.isin(found.shape, np.setdiff1d(found.shape[tags > 0], found.shape[made_plain]))
+    before = np.concatenate([[0], np.cumsum(doubtful)])
+    for first, stop in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        if first < stop and plain_per_text:
+            drawn = rng.integers(first, stop, plain_per_text)
+            clear = before[np.minimum(drawn + reach + 1, len(tags))] == before[np.maximum(drawn - reach, 0)]
+            centres += drawn[clear].tolist()
+    whole = [found.shape, found.file[found.text], *[neighbours(found, s) for s in _AROUND]]
     index = np.clip(np.array(centres)[:, None] + np.arange(-reach, reach + 1), 0, len(tags) - 1)
-    features = [found.shape[index], found.file[found.text[index]], *[neighbours(found, s)[index] for s in _AROUND]]
-    return _fit(features, tags[index])
+    return _fit([f[index] for f in whole], tags[index])
 
 
 def train(docs: DataFrame, rows: int = 800, most_chars: int = 20_000) -> Field:
     """Train on at most ``rows`` texts that hold a match of a fixed pattern and as many others, of at most ``most_chars``
     characters each, drawn by a hash of id and text; rows that repeat both count once. Without a match in the table nothing is added to
     the fixed patterns."""
-    likely = F.col("text").rlike(r"(?i)(?:password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{12}|[0-9a-f]{32}")
+    likely = F.col("text").rlike(r"(?i:password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{12}|[0-9a-f]{32}")
     texts = docs.select("text", F.xxhash64("doc_id", "text").alias("draw"), likely.alias("likely")).where(
         F.length("text").between(1, most_chars)
     )
@@ -315,7 +415,8 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
     """One row per input row: doc_id and ``spans``, an array of (kind, start, end) in code points of the whole text, end exclusive.
 
     ``assign``, ``access`` and ``hex`` are the fixed patterns' matches, leftmost and not overlapping within a kind; ``crf`` are spans
-    the field adds. Null and empty texts have none. Other columns are ignored; an empty table gives no rows.
+    the field adds. Null and empty texts have none. Rows are scanned one by one, also those that repeat, and keep their doc_id, null
+    included. Other columns are ignored; an empty table gives no rows.
     """
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
