@@ -50,23 +50,23 @@ OPENINGS = (
     "Takes over as shift lead of the depot.",
 )
 REQUIREMENTS = (
-    "Holders of a KCSE certificate are welcome.",
-    "KCSE or a Diploma in Hospitality.",
-    "Bring a KCSE certificate or Diploma.",
-    "Applicants hold a Bachelor's degree.",
-    "We ask for a Diploma in Logistics.",
-    "A diploma in design is an added advantage.",
-    "From a KCSE mean grade of B (plain) upwards.",
-    "KCSE mean grade C (plain) or something like it.",
-    "Kenya Certificate of Secondary Education mean grade of C+ (plus) at least.",
-    "Bring your own driving licence, class BCE.",
-    "You are registered with the Pharmacy Board.",
-    "Send scanned copies of your certificates.",
-    "Certificate in Payroll Software needed.",
-    "An entry-level seat: no experience required.",
-    "form four leavers, minimum grade d minus, tidy handwriting",
-    "US residents only, please.",
-    "You must be based in the UK.",
+    "Must hold a driving permit or PSV badge.",
+    "HND or university graduate, ready to travel.",
+    "Form four or diploma, whichever came last.",
+    "Diploma holders only; form iv leavers next year.",
+    "A trade test is desirable, good eyesight is not optional.",
+    "kcse mean of C (plain) will do.",
+    "Needs a minimum grade B- in kcse; craft course a plus.",
+    "Form 4, mean grade of at least D+ and steady hands.",
+    "Secondary school level, grade of C plus at the least.",
+    "kcpe, minimum grade e, if the head teacher says so",
+    "Registration by the nursing council within a month.",
+    "Carry photocopies of original supporting documents and a birth certificate.",
+    "CCNA or proficiency in Linux.",
+    "School leaving certificates and testimonials at the gate.",
+    "Fresh graduates welcome, training on the job.",
+    "Only residents of Canada can be considered.",
+    "Candidates must live in the UK.",
 )
 ENDINGS = (
     "Application deadline: 29th July 2001.",
