@@ -41,6 +41,7 @@ FILTER_BITS = 24
 FAMILY_SHARE = 50
 #: Sets and tokens per block when the pairs of a family are looked through.
 BLOCK, BLOCK_TOKENS = 256, 1 << 20
+_PIECE_BYTES = 1 << 19  # of text at a time; arrays of words and shingles take some forty times as much
 
 
 def shingle_sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -88,7 +89,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
     seen = False
     for whole in batches:
-        for batch in pieces(whole):
+        for batch in pieces(whole, limit=_PIECE_BYTES):
             sizes, digests = [], []
             for _, tokens in shingle_sets(batch):
                 sizes.append(len(tokens))
@@ -141,7 +142,7 @@ def _postings(sketch: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for whole in batches:
-            for batch in pieces(whole):
+            for batch in pieces(whole, limit=_PIECE_BYTES):
                 parts: list[tuple[np.ndarray, ...]] = []
                 for node, tokens in _new_classes(batch, seen):
                     own, best = prefix(tokens, sketch[_slots(tokens)])
@@ -175,7 +176,7 @@ def _sets(docs: DataFrame, active: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for whole in batches:
-            for batch in pieces(whole):
+            for batch in pieces(whole, limit=_PIECE_BYTES):
                 wanted = [
                     (node, tokens.tobytes())
                     for node, tokens in _new_classes(batch, seen)

@@ -22,6 +22,7 @@ from vacansift.llm.shared import place, thinned
 STRIDE = 8
 _WIDTH, _FILTERS, _HIDDEN = 4, 32, 16
 _PAD = 256
+_PIECE_BYTES = 1 << 19  # of text at a time; arrays of a piece take some seventy times as much
 
 
 @dataclass
@@ -188,7 +189,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole):
+            for batch in pieces(whole, limit=_PIECE_BYTES):
                 found = pa.array(scores(net, *utf8(batch.column("text"))), pa.float64())
                 yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*columns, "score"])
 
